@@ -33,12 +33,14 @@ def drop_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     lines = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n", -1)
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_row"), lines.alias("_lines"))
-    keyed = (
+    # Written once, as normalising costs more than reading a row of four numbers for each line.
+    keyed = written(
         base.select("_id", "_row", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_id", "_row", "_pos", line_key(F.col("_line")).alias("_key"))
         .where(F.length("_key") >= min_key_chars)
         # 128 bits, so that equal hashes mean equal keys however many lines there are
-        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(1), "_key").alias("_g"))
+        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(1), "_key").alias("_g")),
+        "lines",
     )
     # Counting lines first (combined before the shuffle) leaves few hashes for the distinct count.
     often = written(keyed.groupBy("_h", "_g").count().where(F.col("count") >= min_docs).select("_h", "_g"), "line-often")
