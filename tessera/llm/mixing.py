@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
-BUCKET = 4  # hexadecimal digits: 65536 buckets bound what one task sorts for a leaf's prefix
+DIGITS = (2, 4, 6)  # hexadecimal digits of the order that name a bucket: 256 in each step
 
 
 def n_tokens(text: Column) -> Column:
@@ -101,14 +101,18 @@ def mix(docs: DataFrame, *, levels: Mapping[str, Column], weights: Mapping[str,
     plan = leaf_budgets(leaves, names, weights, wanted, max_epochs).where("tokens > 0 and budget > 0")
     plan = written(plan.select(*(F.col(n).alias(f"_{n}") for n in names), F.expr("budget div tokens").alias("_epochs"), (F.col("budget") % F.col("tokens")).alias("_rest")), "mix-plan")
     up = [f"_{n}" for n in names]
-    # The prefix: sums by bucket first, then the order within the one bucket where it ends.
+    # The prefix: sums by bucket first, then within the one bucket where it ends by finer buckets,
+    # and last the order of the rows that are left.
     key = order_key(F.col("_id"), seed, F.col("_epochs"))
-    keyed = flat.join(small(plan.where("_rest > 0")), _same(names, up)).select(*up, "_rest", "_n", key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, BUCKET))
-    upto = Window.partitionBy(*up).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = keyed.groupBy(*up, "_rest", "_bucket").agg(F.sum("_n").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
-    end = written(sums.where("_upto > _rest").groupBy(*up).agg(F.min("_bucket").alias("_end"), F.min_by(F.col("_upto") - F.col("_n"), "_bucket").alias("_before")), "mix-end")
-    end = end.select(*(F.col(n).alias(f"e{n}") for n in up), "_end", "_before")
-    last = keyed.join(small(end), _same(up, [f"e{n}" for n in up]) & (F.col("_bucket") == F.col("_end")))
+    keyed = flat.join(small(plan.where("_rest > 0")), _same(names, up)).select(*up, "_rest", "_n", key.alias("_key"))
+    last = keyed.withColumn("_before", F.lit(0).cast("long")).withColumn("_end", F.lit(""))
+    for digits in DIGITS:
+        bucket = F.substring("_key", 1, digits)
+        upto = Window.partitionBy(*up).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = last.groupBy(*up, "_rest", "_before", bucket.alias("_bucket")).agg(F.sum("_n").alias("_n")).withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
+        end = written(sums.where("_upto > _rest").groupBy(*up).agg(F.min("_bucket").alias("_end"), F.min_by(F.col("_upto") - F.col("_n"), "_bucket").alias("_before")), "mix-end")
+        end = end.select(*(F.col(n).alias(f"e{n}") for n in up), "_end", "_before")
+        last = keyed.join(small(end), _same(up, [f"e{n}" for n in up]) & (bucket == F.col("_end")))
     order = Window.partitionBy(*up).orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
     cut = last.withColumn("_upto", F.col("_before") + F.sum("_n").over(order)).groupBy(*up).agg(F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_key"))).alias("_cut"), F.first("_end").alias("_end"))
     cut = cut.select(*(F.col(n).alias(f"c{n}") for n in up), F.coalesce("_cut", "_end").alias("_cut"))  # a bucket's name sorts before its keys
