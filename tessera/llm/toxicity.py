@@ -83,15 +83,21 @@ def train(texts: list[str], target: np.ndarray, *, epochs: int = 200, rate: floa
     length is set by ``rate``, which falls to 0, and the gradient's greatest entry."""
     r = np.random.default_rng(seed)
     vectors, head, bias = r.normal(0, 0.05, (BUCKETS, DIM)), np.ones(DIM) / np.sqrt(DIM), -2.0
-    buckets, owners, codes, docs, n_words, at = [], [], [], [], 0, 0
+    # Each distinct word of the sample has its subwords once.
+    buckets, owners, tokens, docs, known, n_words, at = [], [], [], [], np.zeros(0, np.uint64), 0, 0
     for lo, hi, data, offsets in chunks(pa.array(texts, pa.string())):
         w = words(data, offsets, ALNUM_LOWER, fold=True)
-        _, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        b, o = subwords(w, first)
-        buckets.append(b), owners.append(o + n_words), codes.append(back + n_words), docs.append(w.doc + at)
-        n_words += len(first)
+        own, first = np.unique(w.hash, return_index=True)
+        new = ~np.isin(own, known, assume_unique=True)
+        b, o = subwords(w, first[new])
+        buckets.append(b), owners.append(o + n_words), tokens.append(w.hash), docs.append(w.doc + at)
+        known = np.concatenate([known, own[new]])
+        n_words += int(new.sum())
         at += hi - lo
-    bucket, owner, code, doc = (np.concatenate(x) for x in (buckets, owners, codes, docs))
+    bucket, owner, doc = (np.concatenate(x) for x in (buckets, owners, docs))
+    order = np.argsort(known)
+    code = order[np.searchsorted(known, np.concatenate(tokens), sorter=order)]
+    del buckets, owners, tokens, docs, known, order
     per_word = np.maximum(1, np.bincount(owner, minlength=n_words))
     n = len(texts)
     start = np.searchsorted(doc, np.arange(n + 1))
