@@ -1,7 +1,7 @@
 """Vectorised tokenisation of Arrow string columns with numpy.
 
-A column's bytes are cut into chunks of whole documents (about a megabyte each, or one document if
-that is longer), so that memory is bounded by the chunk or the longest text, never by the batch.
+A column's bytes are cut into chunks of whole documents (a quarter of a megabyte each, or one
+document if that is longer), so that memory is bounded by the chunk or the longest text, never by the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -56,7 +56,7 @@ class _Powers:
                 up, down = np.full(n, _ODD), np.full(n, _ODD_INVERSE)
                 up[0] = down[0] = 1
                 up, down = np.cumprod(up), np.cumprod(down)
-            if n > 4 * CHUNK_BYTES:  # a giant text's powers are not kept
+            if n > 16 * CHUNK_BYTES:  # a giant text's powers are not kept
                 return up, down
             self.up, self.down = up, down
         return self.up[:n], self.down[:n]
