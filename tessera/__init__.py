@@ -1,0 +1 @@
+"""Tile time-series analytics on Spark: composites, indices, anomaly labels, attribution, scoring."""
