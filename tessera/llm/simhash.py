@@ -159,12 +159,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Defined cases: null and empty texts have fingerprint 0 and are linked like any other; a row
     with a null id gets the component of its fingerprint (null if no row with an id has or
-    reaches it); rows that repeat an id are each returned; an empty table gives an empty one.
+    reaches it); rows that repeat an id are each returned, and linked by
+    their texts alone; an empty table gives an empty one.
     """
     if len(seeds) == 1 and blocks - agree < max_bits:
         raise ValueError("too few blocks: links would be missed")
     prints = written(fingerprints(docs, id_col, text_col, shingle, seeds), "prints")
-    nodes = written(prints.groupBy("f0", "f1").agg(F.min("id").alias("node")).where("node is not null"), "nodes")
+    # A node is a distinct fingerprint, by its value (of two fingerprints, by a hash of both).
+    name = F.col("f0") if len(seeds) == 1 else F.xxhash64("f0", "f1")
+    nodes = written(prints.groupBy("f0", "f1").agg(F.min("id").alias("least")).where("least is not null").withColumn("node", name), "nodes")
     masks = _masks(blocks, agree)
     keys = [F.struct(F.lit(i + k * len(masks)).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("key")) for k, c in enumerate(("f0", "f1")[: len(seeds)]) for i, m in enumerate(masks)]
     dealt = nodes.select("f0", "f1", "node", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "f0", "f1", "node")
@@ -175,7 +178,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = dealt.join(small(hot), ["t", "key"], "left").select("t", "key", F.explode(cells).alias("cell"), "f0", "f1", "node")
     dealt = dealt.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell")
     roots = components(dealt.mapInArrow(_links(max_bits), "a long, b long"))
-    groups = nodes.join(roots, "node", "left").select(F.col("f0").alias("_f0"), F.col("f1").alias("_f1"), F.coalesce("root", "node").alias("component"))
+    rooted = written(nodes.join(roots, "node", "left").select("f0", "f1", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    groups = rooted.join(least, "root").select(F.col("f0").alias("_f0"), F.col("f1").alias("_f1"), "component")
     return prints.join(groups, (F.col("f0") == F.col("_f0")) & (F.col("f1") == F.col("_f1")), "left").select(F.col("id").alias(id_col), "f0", "f1", "component")
 
 
