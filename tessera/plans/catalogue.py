@@ -159,9 +159,9 @@ def temporal_median_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select cast(l_orderkey % 40 as int) as "row", cast(l_partkey % 40 as int) as col, round(avg(case when l_quantity > 5 then l_extendedprice / 1000 end), 6) as vv from lineitem group by 1, 2""")
+select cast(l_orderkey % 40 as int) as "row", cast(l_partkey % 40 as int) as col, round(avg(case when l_quantity > 5 then l_extendedprice / 7000 end), 6) as vv from lineitem group by 1, 2""")
 def temporal_mean_nodata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vv = F.when(F.col("quantity") > 5, F.col("price") / 1000).otherwise(-32768.0)
+    vv = F.when(F.col("quantity") > 5, F.col("price") / 7000).otherwise(-32768.0)
     return rounded(R.composite_mean(pixels(spark, sf_dir), ["row", "col"], {"vv": R.radar(vv)}), "vv")
 
 
