@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
+from ..functions import projection as P
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import attribute as A
@@ -17,6 +18,7 @@ from ..operators import distance as D
 from ..operators import embed as E
 from ..operators import grid as G
 from ..operators import labels as L
+from ..operators import ordered as O
 from ..operators import raster as R
 from ..operators import sequence as Q
 from ..session import read_table, shared_path
@@ -472,6 +474,49 @@ def sequence_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.select("tile_id", "year", F.explode("seq").alias("s")).select("tile_id", "year", "s.step", "s.label", "s.valid")
 
 
+# Ordered operators
+
+
+@query(f"with {JUDGED} select doc_id, grp, rank() over (partition by grp order by score) + (count(*) over (partition by grp, score) - 1) / 2 as mid_rank from judged")
+def mid_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.mid_rank(judged(spark, sf_dir), "score", ["grp"]).select("doc_id", "grp", "mid_rank")
+
+
+@query("""select o_custkey, o_orderkey, max(o_totalprice) over w as best, coalesce(o_totalprice > max(o_totalprice) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), true) as is_best
+from orders window w as (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row)""")
+def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.best_so_far(read_table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", ["o_custkey"]).select("o_custkey", "o_orderkey", "best", "is_best")
+
+
+@query("select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1")
+def first_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return O.first_of_key(o, ["o_custkey"], [-F.col("o_totalprice"), F.col("o_orderkey")])
+
+
+@query("select o_orderkey, row_number() over (order by o_orderkey) as new_id from orders where o_orderpriority = '1-URGENT'")
+def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.renumber(read_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"""with {CELLS} select tile_id, year, {", ".join(f'min(ndvi) filter (where window_index = {w}) as "{w}"' for w in range(1, 13))} from cells group by all""")
+def pivot_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.pivot_first(cells(spark, sf_dir), ["tile_id", "year"], "window_index", range(1, 13), "ndvi")
+
+
+@query("select distinct c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read_table(spark, sf_dir, "customer").select("c_custkey")
+    return O.missing(wanted, read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query()
+def reprojected_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile corners, in metres of UTM zone 15, as degrees and in the crop raster's projection."""
+    t = tiles(spark, sf_dir).select("tile_id", P.from_utm(F.col("x") + 420_000, F.col("y") + 4_600_000, 15).alias("p"))
+    return rounded(t.select("tile_id", "p.lon", "p.lat", P.to_albers(F.col("p.lon"), F.col("p.lat")).alias("a")).select("tile_id", "lon", "lat", "a.x", "a.y"), "lon", "lat", "x", "y")
+
+
 # Sources
 
 
