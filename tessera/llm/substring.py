@@ -29,7 +29,7 @@ from .common import column, record_batches, small, written
 from .textops import chunks, grams, runs, within, words
 
 SHARD_ANCHORS = 20_000  # of one reference document in a shard; about four words each
-SHARD_ROWS = 2_000  # stretches streamed through one copy of a shard
+SHARD_ROWS = 500  # stretches streamed through one copy of a shard
 
 
 class SuffixAutomaton:
