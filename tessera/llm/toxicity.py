@@ -24,6 +24,7 @@ from .textops import ALNUM_LOWER, Words, chunks, mix, words
 
 BUCKETS, NGRAMS, DIM, PASSAGE = 1 << 18, (3, 4, 5), 8, 16
 THRESHOLD = 0.3
+MIN_DOCS = 3  # of the sample, for a word to be trained on
 SHARPNESS = 2.0  # of the mean over a document's passages: 0 is the plain mean, infinity the maximum
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +99,12 @@ def train(texts: list[str], target: np.ndarray, *, epochs: int = 200, rate: floa
     order = np.argsort(known)
     code = order[np.searchsorted(known, np.concatenate(tokens), sorter=order)]
     del buckets, owners, tokens, docs, known, order
+    # A word of one or two documents says nothing of the label that would hold elsewhere.
+    pairs = np.unique(code.astype(np.int64) * (at + 1) + doc)
+    seen_in = np.bincount(pairs // (at + 1), minlength=n_words)
+    use = seen_in[code] >= min(MIN_DOCS, 1 + at // 100)
+    code, doc = code[use], doc[use]
+    del pairs, use
     per_word = np.maximum(1, np.bincount(owner, minlength=n_words))
     n = len(texts)
     start = np.searchsorted(doc, np.arange(n + 1))
@@ -124,15 +131,15 @@ def train(texts: list[str], target: np.ndarray, *, epochs: int = 200, rate: floa
     return Model((vectors @ head).astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 2000, max_chars: int = 20_000, **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_other: int = 4000, max_chars: int = 20_000, **how) -> Model:
     """Trains on a bounded sample of labelled documents outside the held-out fold: about
-    ``max_each`` of each label, of at most ``max_chars`` code points, chosen by a hash of the id.
+    ``max_toxic`` and ``max_other``, of at most ``max_chars`` code points, chosen by a hash of the id.
     A document with several labels counts as toxic if one says so."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max(F.when(F.col("y") == 1, 1).otherwise(0)).alias("y"))
     count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chance = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.when(F.col("y") == 1, min(1.0, max_each / max(1, count.get(1, 0)))).otherwise(min(1.0, max_each / max(1, count.get(0, 0))))
-    sample = known.where(chance < wanted).limit(3 * max_each)
+    wanted = F.when(F.col("y") == 1, min(1.0, max_toxic / max(1, count.get(1, 0)))).otherwise(min(1.0, max_other / max(1, count.get(0, 0))))
+    sample = known.where(chance < wanted).limit(2 * (max_toxic + max_other))
     picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") <= max_chars)
     rows = picked.join(F.broadcast(sample), F.col("_id") == F.col("id")).select("id", "y", "text").collect()
     if len({r["y"] for r in rows}) < 2:
