@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +43,17 @@ class GRU:
         r = np.random.default_rng(seed)
         return cls(r.normal(0, dim**-0.5, (dim, 3 * hidden)), r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), np.zeros(3 * hidden), r.normal(0, hidden**-0.5, hidden))
 
+    @classmethod
+    def of(cls, weights: DataFrame) -> GRU:
+        """From the five rows that ``weights`` gives."""
+        rows = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in weights.limit(6).collect()}
+        return cls(**{**rows, "out_b": float(rows["out_b"])})
+
+    def weights(self, spark: SparkSession) -> DataFrame:
+        """Rows (name, shape, values), to be written as Parquet."""
+        rows = [(n, list(np.shape(w)), np.ravel(w).tolist()) for n, w in vars(self).items()]
+        return spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         """x (n, t, dim) -> logits (n, t), and what the backward pass needs."""
         n, t, _ = x.shape
@@ -77,13 +89,27 @@ class GRU:
         return g
 
 
-def train_gru(x: np.ndarray, y: np.ndarray, valid: np.ndarray, *, hidden: int = 128, epochs: int = 80, batch: int = 64, rate: float = 5e-4, decay: float = 1e-5, seed: int = 42) -> GRU:
-    """Adam on masked cross entropy, positives weighted so that both classes count alike."""
+def rank_auc(y: np.ndarray, score: np.ndarray) -> float:
+    """Area under the ROC curve by mid-ranks; not a number with labels of one kind."""
+    pos, neg = int((y == 1).sum()), int((y == 0).sum())
+    if not pos or not neg:
+        return float("nan")
+    _, back, ties = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(ties) - (ties - 1) / 2)[back]
+    return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg))
+
+
+def train_gru(x: np.ndarray, y: np.ndarray, valid: np.ndarray, *, watched: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, hidden: int = 128, epochs: int = 80, batch: int = 64, rate: float = 5e-4, decay: float = 1e-5, seed: int = 42) -> GRU:
+    """Adam on masked cross entropy, positives weighted so that both classes count alike.
+
+    With ``watched`` sequences (x, y, valid) the net of the epoch with the highest ROC AUC on their
+    valid steps is returned, the first of equals; without, or where no epoch has one, the last."""
     net, r = GRU.new(x.shape[2], hidden, seed), np.random.default_rng(seed)
     pos, neg = int((y[valid] == 1).sum()), int((y[valid] == 0).sum())
     weight = max(neg, 1) / max(pos, 1)
     names = ("wx", "wh", "b", "out", "out_b")
     m, v, step = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), 0
+    best, chosen = -1.0, None
     for _ in range(epochs):
         order = r.permutation(len(x))
         for lo in range(0, len(x), batch):
@@ -98,16 +124,27 @@ def train_gru(x: np.ndarray, y: np.ndarray, valid: np.ndarray, *, hidden: int =
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
                 setattr(net, name, getattr(net, name) - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8))
-    return net
+        if watched is not None:
+            auc = rank_auc(watched[1][watched[2]], net.forward(watched[0])[0][watched[2]])
+            if auc > best:
+                best, chosen = auc, copy.deepcopy(net)
+    return chosen or net
 
 
-def fit_gru(sequences: DataFrame, *, max_sequences: int = 5000, seed: int = 42, **how) -> GRU:
-    """Trains on the driver on a bounded sample (by a seeded hash of the rows' keys)."""
+def _sample(sequences: DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Vectors, labels and valid flags of at most ``n`` rows, by a seeded hash of their keys."""
     keys = [c for c in sequences.columns if c != "seq"]
-    rows = sequences.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(max_sequences).collect()
-    x = np.array([[s["vector"] for s in r["seq"]] for r in rows], dtype=float)
-    y = np.array([[s["label"] for s in r["seq"]] for r in rows])
-    return train_gru(x, y, np.array([[s["valid"] for s in r["seq"]] for r in rows]), seed=seed, **how)
+    rows = sequences.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n).collect()
+    part = lambda name, kind: np.array([[s[name] for s in r["seq"]] for r in rows], dtype=kind)
+    return (part("vector", float), part("label", int), part("valid", bool)) if rows else None
+
+
+def fit_gru(sequences: DataFrame, *, watched: DataFrame | None = None, max_sequences: int = 5000, seed: int = 42, **how) -> GRU:
+    """Trains on the driver on a bounded sample; ``watched`` sequences (a sample of the same bound)
+    choose the epoch."""
+    if (sample := _sample(sequences, max_sequences, seed)) is None:
+        raise ValueError("no sequences to train on")
+    return train_gru(*sample, watched=None if watched is None else _sample(watched, max_sequences, seed), seed=seed, **how)
 
 
 def score_gru(sequences: DataFrame, net: GRU) -> DataFrame:

@@ -562,7 +562,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = _sequences(spark, sf_dir)
-    net = Q.fit_gru(seq.where("tile_id % 8 < 7"), max_sequences=500, hidden=16, epochs=5)
+    net = Q.fit_gru(seq.where("tile_id % 8 < 7"), watched=seq.where("tile_id % 8 = 7"), max_sequences=500, hidden=16, epochs=5)
     return rounded(Q.score_gru(seq, net), "p_stressed")
 
 

@@ -127,6 +127,38 @@ def test_gru_gradients_and_training():
     assert ((net.forward(x)[0] > 0) == y).mean() > 0.9
 
 
+def test_gru_of_the_best_epoch():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x, other = r.normal(size=(60, 4, 2)), r.normal(size=(40, 4, 2))
+    y, z = (x[:, :, 0] + 2 * r.normal(size=(60, 4)) > 0).astype(int), (other[:, :, 0] + r.normal(size=(40, 4)) > 0).astype(int)
+    all_, some = np.ones_like(y, bool), r.random((40, 4)) < 0.8
+
+    def auc(net):
+        p = net.forward(other)[0][some]
+        pairs = [(a > b) + (a == b) / 2 for a in p[z[some] == 1] for b in p[z[some] == 0]]
+        return sum(pairs) / len(pairs)
+
+    after = [auc(Q.train_gru(x, y, all_, hidden=3, epochs=k, rate=5e-2)) for k in range(1, 31)]
+    best = Q.train_gru(x, y, all_, watched=(other, z, some), hidden=3, epochs=30, rate=5e-2)
+    assert auc(best) == pytest.approx(max(after)) and max(after) > after[-1]
+    one_kind = Q.train_gru(x, y, all_, watched=(other, np.ones_like(z), some), hidden=3, epochs=30, rate=5e-2)
+    assert auc(one_kind) == pytest.approx(after[-1])
+    assert Q.rank_auc(np.array([0, 1, 1, 0]), np.array([0.1, 0.1, 0.9, 0.2])) == pytest.approx(0.625)
+    assert np.isnan(Q.rank_auc(np.array([1, 1]), np.array([0.1, 0.2])))
+
+
+def test_gru_weights_round_trip(spark, tmp_path):
+    net = Q.GRU.new(3, 2, 5)
+    net.weights(spark).write.parquet(f"file://{tmp_path}/net")
+    back = Q.GRU.of(spark.read.parquet(f"file://{tmp_path}/net"))
+    assert all((getattr(net, n) == getattr(back, n)).all() for n in ("wx", "wh", "b", "out")) and net.out_b == back.out_b
+    empty = Q.dense_sequences(spark.createDataFrame([], "tile_id int, year int, window_index int, embedding array<double>, label int"), 3, 2)
+    with pytest.raises(ValueError):
+        Q.fit_gru(empty)
+
+
 def test_gru_scores_every_step(spark):
     facts = spark.createDataFrame([(t, 2024, 1 + t % 3, [float(t), 1.0], t % 2) for t in range(8)], "tile_id int, year int, window_index int, embedding array<double>, label int")
     seq = Q.dense_sequences(facts, 3, 2)
