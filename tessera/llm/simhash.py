@@ -6,6 +6,10 @@ fingerprints that differ in at most b - k bits meet in a cell. In a cell, the Ha
 each member to a set of reference fingerprints (pivots) are computed once; a pair whose distances
 to any pivot differ by more than the radius cannot be linked (triangle inequality) and is
 discarded; the rest is verified. Large cells yield a spanning forest, never all their pairs.
+
+Where the radius is too wide for that (25 of 128 bits leave no choice of blocks that selects
+anything), each fingerprint is compared with each: they are dealt into groups by a hash, and each
+pair of groups is a cell, whose pairs are all compared.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .components import components
 PIVOTS = 16
 CELL_LIMIT = 4096  # larger cells are compared block by block, in tasks of their own
 PAIRWISE = 8  # up to this many members, a cell's links are all emitted
+GROUPS = 24  # of fingerprints that are compared each with each; every one is sent this many times
+TILE = 16  # fingerprints compared with a whole group at once
 
 
 def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...]) -> list[int]:
@@ -149,13 +155,104 @@ def _links(radius: int):
     return run
 
 
+def _near(f: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of x and y (indices into f) within the radius, as places in x and in y."""
+    i, j = np.divmod(np.flatnonzero(np.bitwise_count(f[0, x, None] ^ f[0, y]) <= radius), max(1, len(y)))
+    good = np.bitwise_count(f[0, x[i]] ^ f[0, y[j]]) + np.bitwise_count(f[1, x[i]] ^ f[1, y[j]]) <= radius
+    return i[good], j[good]
+
+
+def cross_links(f: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between x and y (distinct indices into f): every pair is
+    compared, unless both are in one tree already."""
+    out, side, rest = [], np.zeros(f.shape[1], bool), [x, y]
+    side[y] = True
+    while len(rest[0]) and len(rest[1]):
+        tile = rest[0][:TILE]
+        hit = np.zeros(len(tile), bool)
+        hit[_near(f, tile, rest[1], radius)[0]] = True
+        # Those without a link are done; from one with a link its tree is grown, breadth first.
+        rest[0] = np.concatenate([tile[hit], rest[0][TILE:]])
+        front = []
+        if hit.any():
+            front, rest[0] = [int(rest[0][0])], rest[0][1:]
+        while front:
+            at = front.pop()
+            other = int(not side[at])
+            found = np.zeros(len(rest[other]), bool)
+            found[_near(f, np.array([at]), rest[other], radius)[1]] = True
+            if found.any():
+                reached = rest[other][found].tolist()
+                out += [(at, z) for z in reached]
+                front += reached
+                rest[other] = rest[other][~found]
+    return out
+
+
+def all_links(f: np.ndarray, x: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Index pairs that link all that is linked in x."""
+    if len(x) <= 2 * TILE:
+        return [(int(x[i]), int(x[j])) for i, j in zip(*_near(f, x, x, radius)) if i < j]
+    a, b = x[: len(x) // 2], x[len(x) // 2 :]
+    return cross_links(f, a, b, radius) + all_links(f, a, radius) + all_links(f, b, radius)
+
+
+def _group_links(radius: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, own, f0, f1, node = np.concatenate(parts, axis=1)
+        f, left = np.stack([f0, f1]).view(np.uint64), own == cell // GROUPS
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        same = len(cell) and cell[0] // GROUPS == cell[0] % GROUPS
+        found = np.array(all_links(f, x, radius) if same else cross_links(f, x, y, radius), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the parts of one cell
+        for b in batches:
+            rows = np.stack([column(b, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "own", "f0", "f1", "node")])
+            for part in np.split(rows, np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, axis=1):
+                if held and part.shape[1] and held[0][0, 0] != part[0, 0]:
+                    yield from links(held)
+                    held = []
+                if part.shape[1]:
+                    held.append(part)
+        if held:
+            yield from links(held)
+
+    return run
+
+
+def _every_pair(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of all nodes within the radius, however far apart their blocks are."""
+    own = F.pmod(F.xxhash64("node"), F.lit(GROUPS))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long")), lambda o: F.least(own, o) * GROUPS + F.greatest(own, o))
+    dealt = nodes.select("f0", "f1", "node", own.alias("own"), F.explode(cells).alias("cell"))
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_group_links(radius), "a long, b long")
+
+
+def _block_links(nodes: DataFrame, halves: int, max_bits: int, blocks: int, agree: int, cell_limit: int) -> DataFrame:
+    """Links (a, b) of the nodes that meet in a cell and are within the radius."""
+    masks = _masks(blocks, agree)
+    keys = [F.struct(F.lit(i + k * len(masks)).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("key")) for k, c in enumerate(("f0", "f1")[:halves]) for i, m in enumerate(masks)]
+    dealt = nodes.select("f0", "f1", "node", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "f0", "f1", "node")
+    hot = written(dealt.groupBy("t", "key").count().where(F.col("count") > cell_limit), "hot").select("t", "key", F.ceil(F.col("count") / cell_limit).cast("long").alias("s"))
+    # A hot cell's members are split into s blocks, and each pair of blocks is a cell.
+    own, s = F.pmod(F.xxhash64("node"), F.col("s")), F.col("s")
+    cells = F.when(s.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(s, F.lit(1)) - 1), lambda o: 1 + F.least(own, o) * s + F.greatest(own, o)))
+    dealt = dealt.join(small(hot), ["t", "key"], "left").select("t", "key", F.explode(cells).alias("cell"), "f0", "f1", "node")
+    dealt = dealt.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell")
+    return dealt.mapInArrow(_links(max_bits), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (42,), max_bits: int = 3, blocks: int = 6, agree: int = 3, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """Returns (id, f0, f1, component), component being the smallest id reachable over links of at
     most ``max_bits`` differing bits (of 64, or of 128 with two seeds).
 
-    All links of at most ``blocks - agree`` differing bits in one of the fingerprints are found
-    (with one seed and max_bits = blocks - agree: all links); of those beyond, the ones that agree
-    in ``agree`` blocks of a fingerprint.
+    All links are found. Where any two fingerprints within ``max_bits`` agree in ``agree`` of
+    ``blocks`` blocks of one of their halves, pairs meet by these; where they need not (two seeds
+    only), every pair of distinct fingerprints is compared, which is quadratic in their number.
 
     Defined cases: null and empty texts have fingerprint 0 and are linked like any other; a row
     with a null id gets the component of its fingerprint (null if no row with an id has or
@@ -168,16 +265,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # A node is a distinct fingerprint, by its value (of two fingerprints, by a hash of both).
     name = F.col("f0") if len(seeds) == 1 else F.xxhash64("f0", "f1")
     nodes = written(prints.groupBy("f0", "f1").agg(F.min("id").alias("least")).where("least is not null").withColumn("node", name), "nodes")
-    masks = _masks(blocks, agree)
-    keys = [F.struct(F.lit(i + k * len(masks)).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("key")) for k, c in enumerate(("f0", "f1")[: len(seeds)]) for i, m in enumerate(masks)]
-    dealt = nodes.select("f0", "f1", "node", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "f0", "f1", "node")
-    hot = written(dealt.groupBy("t", "key").count().where(F.col("count") > cell_limit), "hot").select("t", "key", F.ceil(F.col("count") / cell_limit).cast("long").alias("s"))
-    # A hot cell's members are split into s blocks, and each pair of blocks is a cell.
-    own, s = F.pmod(F.xxhash64("node"), F.col("s")), F.col("s")
-    cells = F.when(s.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(s, F.lit(1)) - 1), lambda o: 1 + F.least(own, o) * s + F.greatest(own, o)))
-    dealt = dealt.join(small(hot), ["t", "key"], "left").select("t", "key", F.explode(cells).alias("cell"), "f0", "f1", "node")
-    dealt = dealt.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell")
-    roots = components(dealt.mapInArrow(_links(max_bits), "a long, b long"))
+    links = _block_links(nodes, len(seeds), max_bits, blocks, agree, cell_limit) if max_bits // len(seeds) <= blocks - agree else _every_pair(nodes, max_bits)
+    roots = components(links)
     rooted = written(nodes.join(roots, "node", "left").select("f0", "f1", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     groups = rooted.join(least, "root").select(F.col("f0").alias("_f0"), F.col("f1").alias("_f1"), "component")

@@ -121,3 +121,51 @@ def test_components_of_chains_and_stars(spark):
     edges = spark.createDataFrame([*chain, *star, (7, 7), (160, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{i: 3 for i in range(100, 161)}, **{i: 500 for i in range(501, 700)}}
+
+
+def edited_texts(n, seed):
+    """Texts of 60 words, most of them with up to 6 words of another replaced."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = r.choice(rows)[1].split() if rows and r.random() < 0.6 else [f"w{r.randrange(5000)}" for _ in range(60)]
+        for _ in range(r.randrange(0, 7)):
+            w[r.randrange(len(w))] = f"w{r.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    r.shuffle(rows)
+    return rows
+
+
+def test_all_pairs_within_25_of_128_bits(make):
+    rows = edited_texts(300, 6) + [(1000 + r[0] if r[0] else r[0], r[1]) for r in odd_rows()]
+    got = sorted(((r[0], f"{r[1] & (1 << 64) - 1:016x}", r[3]) for r in simhash.near_duplicates(make(rows), shingle=5, seeds=(42, 43), max_bits=25, blocks=8, agree=2).collect()), key=str)
+    assert got == brute(rows, 5, 25, (42, 43))
+
+
+@pytest.mark.parametrize("n", [1, 40, 700])
+def test_groups_link_all_that_is_near(n):
+    r = np.random.default_rng(n)
+    near = r.integers(0, 1 << 64, (2, 30), dtype=np.uint64)[:, r.integers(0, 30, n)]
+    for _ in range(9):
+        near[r.integers(0, 2, n), np.arange(n)] ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+    d = np.bitwise_count(near[:, :, None] ^ near[:, None]).sum(axis=0)
+
+    def parts(pairs):
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            assert d[a, b] <= 14
+            x, y = sorted((find(int(a)), find(int(b))))
+            root[y] = x
+        return [find(x) for x in range(n)]
+
+    want = np.argwhere(d <= 14)
+    assert parts(simhash.all_links(near, np.arange(n), 14)) == parts(want)
+    x, y = np.arange(n)[::2], np.arange(n)[1::2]
+    links = simhash.cross_links(near, x, y, 14)
+    assert len(links) < max(1, n) and parts(links) == parts([(a, b) for a, b in want if (a - b) % 2])
