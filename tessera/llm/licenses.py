@@ -4,6 +4,8 @@ Tokens are ordered by their frequency in the whole corpus, rarest first. A block
 least the threshold of a template's token set must contain one of the template's rarest tokens (the
 prefix), must be at least as long as the overlap it needs, and at each shared prefix token enough
 tokens must be left behind it on both sides. Blocks that pass these three filters are verified.
+
+A block is a line, or a run of words over the ends of lines of one paragraph, as notices are wrapped.
 """
 
 from __future__ import annotations
@@ -58,6 +60,8 @@ class Templates:
         self.threshold = threshold
         rank = {t: i for i, t in enumerate(sorted(frequency, key=lambda t: (frequency[t], t)))}
         self.rank, self.labels, self.tokens, self.need = rank, [], [], []
+        self.codes: list[np.ndarray] = []
+        self.span: list[int] = []  # the words that a run over line ends may have
         self.prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for label, code in templates:
             ordered = sorted({int(c) for c in code}, key=rank.__getitem__)
@@ -69,6 +73,8 @@ class Templates:
             self.labels.append(label)
             self.tokens.append({rank[t] for t in ordered})
             self.need.append(need)
+            self.codes.append(np.array(ordered, np.uint64))
+            self.span.append(len(code))
         self.known = np.array(sorted(rank), np.uint64)
         self.seeds = np.array(sorted(self.prefix), np.uint64)
 
@@ -91,6 +97,37 @@ class Templates:
                     found.append((k, shared / len(self.tokens[k])))
         return found
 
+    def match_runs(self, block: np.ndarray, known: np.ndarray, line: np.ndarray, alone: dict[int, set[int]]) -> list[tuple[int, int, float]]:
+        """(template, first line, containment) of the runs of words that contain a template and go
+        over a line end. block: a paragraph's words, known: which occur in templates, line: their
+        lines, alone: by template the lines that contain it themselves, which no run may touch. Of
+        runs that overlap, the best one is given."""
+        out = []
+        for k, _ in self.match(np.unique(block[known]), len(block)):
+            at = np.flatnonzero(np.isin(block, self.codes[k])).tolist()
+            n: dict[int, int] = defaultdict(int)
+            lo, best = 0, None  # best: containment, first and last word
+            for p in at:
+                n[int(block[p])] += 1
+                while p - at[lo] >= self.span[k] or n[int(block[at[lo]])] > 1:
+                    c = int(block[at[lo]])
+                    n[c] -= 1
+                    if not n[c]:
+                        del n[c]
+                    lo += 1
+                first, last = int(line[at[lo]]), int(line[p])
+                if len(n) < self.need[k] or first == last or any(x in alone.get(k, ()) for x in range(first, last + 1)):
+                    continue
+                share = len(n) / len(self.tokens[k])
+                if best and at[lo] > best[2]:
+                    out.append((k, int(line[best[1]]), best[0]))
+                    best = None
+                if not best or share > best[0]:
+                    best = (share, at[lo], p)
+            if best:
+                out.append((k, int(line[best[1]]), best[0]))
+        return out
+
 
 def token_frequency(docs: DataFrame, text_col: str, wanted: np.ndarray) -> dict[int, int]:
     """How often each wanted token (a hash) occurs in all documents; tasks sum before they send."""
@@ -113,8 +150,10 @@ def token_frequency(docs: DataFrame, text_col: str, wanted: np.ndarray) -> dict[
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Returns id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks
     (label, line, containment of each block that meets the threshold), a row for each row of
-    ``docs``. A block is a line of the text; score is the best containment found, 1 where a base
-    phrase stands, 0 where nothing is found.
+    ``docs``. A block is a line of the text, or a run of words over line ends (given by its first
+    line) in a paragraph, none of whose lines contains the template alone; a run has at most as
+    many words as the template, and a paragraph ends at a line without words. score is the best
+    containment found, 1 where a base phrase stands, 0 where nothing is found.
 
     Defined cases: a null or empty text has no words and no labels (empty strings); repeated rows
     are scanned each; an empty table gives an empty one; other columns are not read. Of templates
@@ -157,7 +196,7 @@ def _scanned(data: np.ndarray, offsets: np.ndarray, index: Templates, wanted, sc
             d = int(w.doc[i])
             starts[d].append(i - int(w.first[d]))
             base[d].add(label)
-    # Lines as blocks: the line of a word is the number of line ends before it, texts apart.
+    # Lines and runs over them as blocks: the line of a word is the number of line ends before it, texts apart.
     blocks: dict[int, list[dict]] = defaultdict(list)
     if len(index.seeds) and len(w.hash):
         at = np.minimum(np.searchsorted(index.seeds, w.hash), len(index.seeds) - 1)
@@ -167,11 +206,21 @@ def _scanned(data: np.ndarray, offsets: np.ndarray, index: Templates, wanted, sc
             line = ends[w.start] + w.doc  # grows at line ends and at texts
             at = np.minimum(np.searchsorted(index.known, w.hash), len(index.known) - 1)
             in_any = index.known[at] == w.hash
+            alone: dict[int, set[int]] = defaultdict(set)  # lines by template; no two texts share a line
             for x in np.unique(line[seeded]).tolist():
                 lo, hi = int(np.searchsorted(line, x)), int(np.searchsorted(line, x, "right"))
                 for k, share in index.match(w.hash[lo:hi][in_any[lo:hi]], hi - lo):
+                    alone[k].add(x)
                     d = int(w.doc[lo])
                     blocks[d].append({"label": index.labels[k], "line": int(x - d - ends[offsets[d]]), "containment": share})
+            para = np.cumsum(np.concatenate(([0], (np.diff(line) > 1) | (np.diff(w.doc) > 0))))
+            for x in np.unique(para[seeded]).tolist():
+                lo, hi = int(np.searchsorted(para, x)), int(np.searchsorted(para, x, "right"))
+                if line[lo] == line[hi - 1]:
+                    continue
+                d = int(w.doc[lo])
+                for k, at_line, share in index.match_runs(w.hash[lo:hi], in_any[lo:hi], line[lo:hi], alone):
+                    blocks[d].append({"label": index.labels[k], "line": int(at_line - d - ends[offsets[d]]), "containment": share})
     n_base = np.array([len(starts.get(d, ())) for d in range(n)], np.int64)
     labels = [",".join(sorted(base.get(d, set()) | {x["label"] for x in blocks.get(d, ())})) for d in range(n)]
     return [

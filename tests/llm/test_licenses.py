@@ -56,6 +56,31 @@ def test_blocks_say_where(make):
     assert got[1] == [("arr", 1), ("cc-by", 3), ("cc-by-nc", 3), ("cc-by-sa", 3)] and got[2] == [("arr", 0)]
 
 
+WRAPPED = {
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:""",
+    "mit": """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights""",
+    "mpl": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    "arr": """All
+rights
+reserved""",
+}
+
+
+def test_notices_wrapped_over_lines(make):
+    texts = [f"some words\n\n{t}\n\nmore words" for t in WRAPPED.values()] + [t.replace("\n", "\r\n") + "\r\n" for t in WRAPPED.values()]
+    texts += ["all rights\n\nreserved", "all rights\n" + "of other people are\n" + "well reserved", "all rights", "reserved", "x all\nAll rights reserved\nreserved"]
+    got = {r["doc_id"]: [(b["label"], b["line"], b["containment"]) for b in r["blocks"]] for r in licenses.scan_licenses(make(list(enumerate(texts)))).collect()}
+    n = len(WRAPPED)
+    for i, label in enumerate(WRAPPED):
+        assert [(x, at) for x, at, _ in got[i]] == [(label, 2)] and [(x, at) for x, at, _ in got[n + i]] == [(label, 0)]
+        assert min(share for *_, share in got[i]) > 0.9  # words put into the MIT notice count in its length
+    assert [got[2 * n + i] for i in range(5)] == [[], [], [], [], [("arr", 1, 1.0)]]
+
+
 def test_empty(make):
     assert licenses.scan_licenses(make([])).count() == 0
     assert licenses.scan_licenses(make([(1, "mit license")]), templates=()).first()["labels"] == "mit"
