@@ -42,14 +42,20 @@ class Items:
     def keys(self) -> dict[int, np.ndarray]:
         return {k: np.array(sorted(x), np.uint64) for k, x in self.seeds.items()}
 
-    def keep_rare(self, frequency: dict[tuple[int, int], int], share: float) -> None:
-        """Keeps the rarest share of each item's seeds (at least one); ties by hash."""
+    def keep_rare(self, frequency: dict[tuple[int, int], int], share: float, run: int) -> None:
+        """Keeps the rarest share of each item's seeds (at least one), and the rarest of any ``run``
+        of its words, so that no such run is without one; ties by hash."""
         own: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for k, x in self.seeds.items():
             for g, places in x.items():
                 for item, _ in places:
                     own[item].add((frequency.get((k, g), 0), g, k))
         stay = {(item, k, g) for item, x in own.items() for _, g, k in sorted(x)[: max(1, math.ceil(share * len(x)))]}
+        for item, code in enumerate(self.code):
+            for k in {k for _, _, k in own[item]} if len(code) > run else ():
+                g = grams(code, k).tolist()
+                order = [(frequency.get((k, x), 0), x) for x in g]
+                stay |= {(item, k, min(order[at : at + max(1, run - k + 1)])[1]) for at in range(max(1, len(code) - run + 1))}
         for k, x in self.seeds.items():
             self.seeds[k] = {g: p for g, places in x.items() if (p := [(i, at) for i, at in places if (i, k, g) in stay])}
 
@@ -88,7 +94,16 @@ def align(items: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, row, end
 
 
-def _aligned(found: dict[tuple[int, int], list[tuple[int, int]]], w, items: Items, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+def longest_run(a: np.ndarray, b: np.ndarray) -> int:
+    """The most words in a row that two texts have in common."""
+    best, run = 0, np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        run[1:] = np.where(b == x, run[:-1] + 1, 0)
+        best = max(best, int(run.max()))
+    return best
+
+
+def _aligned(found: dict[tuple[int, int], list[tuple[int, int]]], w, items: Items, min_score: float, min_run: int) -> Iterator[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, last word) of the best copy of each pair in ``found``;
     found: stretches [start, end) of words for each (document, item)."""
     work = sorted(((d, i, s, e) for (d, i), x in found.items() for s, e in x), key=lambda x: (len(items.code[x[1]]), x[3] - x[2]))
@@ -102,12 +117,12 @@ def _aligned(found: dict[tuple[int, int], list[tuple[int, int]]], w, items: Item
         part, lo = work[lo:hi], hi
         a, b = [items.code[x[1]] for x in part], [w.hash[x[2] : x[3]] for x in part]
         # no more words can match than the item has in the stretch
-        able = [MATCH * int(np.isin(x, y).sum()) >= min_score * MATCH * len(x) - 1e-9 for x, y in zip(a, b)]
+        able = [int(np.isin(x, y).sum()) >= min(min_score * len(x) - 1e-9, min_run) for x, y in zip(a, b)]
         part, a, b = ([x for x, ok in zip(z, able) if ok] for z in (part, a, b))
         if not part:
             continue
         score, row, end = align(a, b)
-        good = [k for k in range(len(part)) if score[k] >= min_score * MATCH * len(a[k]) - 1e-9]
+        good = [k for k in range(len(part)) if score[k] >= min_score * MATCH * len(a[k]) - 1e-9 or score[k] >= MATCH * min_run and longest_run(a[k], b[k]) >= min_run]
         if not good:
             continue
         # the same alignment from its end backwards gives its start
@@ -144,7 +159,7 @@ def stretches(w, items: Items, keys: dict[int, np.ndarray]) -> dict[tuple[int, i
     return out
 
 
-def _overlaps_of_block(picked: DataFrame, items: Items, min_score: float, share: float) -> DataFrame:
+def _overlaps_of_block(picked: DataFrame, items: Items, min_score: float, share: float, min_run: int) -> DataFrame:
     keys = items.keys()
     counted = pa.schema([("k", pa.int32()), ("i", pa.int64()), ("n", pa.int64())])
 
@@ -162,7 +177,7 @@ def _overlaps_of_block(picked: DataFrame, items: Items, min_score: float, share:
 
     # One number for each n-gram of the block's items: bounded by the block.
     rows = picked.select("text").mapInArrow(count, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    items.keep_rare({(r["k"], int(keys[r["k"]][r["i"]])): r["n"] for r in rows}, share)
+    items.keep_rare({(r["k"], int(keys[r["k"]][r["i"]])): r["n"] for r in rows}, share, min_run)
     rare, seeds = items.keys(), {k: dict(x) for k, x in items.seeds.items()}
     items.seeds = seeds
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
@@ -172,7 +187,7 @@ def _overlaps_of_block(picked: DataFrame, items: Items, min_score: float, share:
             ids = column(b, "id")
             for lo, _, data, offsets in chunks(column(b, "text")):
                 w = words(data, offsets, ALNUM_LOWER, fold=True)
-                rows = list(_aligned(stretches(w, items, rare), w, items, min_score))
+                rows = list(_aligned(stretches(w, items, rare), w, items, min_score, min_run))
                 if rows:
                     d, i, score, first, last = zip(*rows)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + x for x in d])), pa.array([items.ids[x] for x in i], pa.int64()), pa.array(score), pa.array(first, pa.int64()), pa.array(last, pa.int64())], schema=schema)
@@ -180,10 +195,11 @@ def _overlaps_of_block(picked: DataFrame, items: Items, min_score: float, share:
     return picked.mapInArrow(find, "id long, item long, score double, first_word long, last_word long")
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = 3, seed_share: float = 0.6, min_score: float = 0.6) -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = 3, seed_share: float = 0.6, min_score: float = 0.6, min_run: int = 13) -> DataFrame:
     """Returns id, item, score, first_word and last_word (in the document, from 0): a row for each
     document and item that share a rare seed and align with at least ``min_score`` of the item's
-    full score (match 2, mismatch -1, gap -1; an exact copy scores 1), with the best stretch.
+    full score (match 2, mismatch -1, gap -1; an exact copy scores 1), or that have ``min_run`` words
+    of the item in a row (its score is then lower), with the best stretch. No such run is missed.
 
     Words are runs of letters and digits, A-Z in lower case. An item of fewer than ``seed_words``
     words is its own seed.
@@ -201,7 +217,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     for k in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         rows.sort(key=lambda r: (r["item"], r["text"]))
-        found = _overlaps_of_block(picked, Items([r["item"] for r in rows], [r["text"] for r in rows], seed_words), min_score, seed_share)
+        found = _overlaps_of_block(picked, Items([r["item"] for r in rows], [r["text"] for r in rows], seed_words), min_score, seed_share, min_run)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 

@@ -97,3 +97,22 @@ def test_blocks_of_items_give_the_same(make, spark, monkeypatch):
     whole = set(decontaminate.benchmark_overlaps(make(rows), items(spark, bench)).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)
     assert set(decontaminate.benchmark_overlaps(make(rows), items(spark, bench)).collect()) == whole
+
+
+def test_excerpts_are_found(make, spark):
+    """Of long items any 13 words in a row are a leak, however common their trigrams are."""
+    r = random.Random(3)
+    bench = [(k, [f"w{r.randrange(400)}" for _ in range(60)]) for k in range(6)]
+    other = lambda n: [f"v{r.randrange(400)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, x in bench:
+        rows += [(1000 + 10 * k + j, " ".join(other(5) + x[:26] + other(2))) for j in range(8)]  # makes its first trigrams common
+        want |= {(1000 + 10 * k + j, k) for j in range(8)}
+        for at in range(0, 48):
+            rows += [(100 * (k + 20) + at, " ".join(other(9) + x[at : at + 13] + other(9))), (100 * (k + 40) + at, " ".join(other(9) + x[at : at + 12] + other(9)))]
+            want.add((100 * (k + 20) + at, k))
+    got = decontaminate.benchmark_overlaps(make(rows), items(spark, [(k, " ".join(x)) for k, x in bench])).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    text = dict(rows)
+    for r in got:
+        assert " ".join(text[r["doc_id"]].split()[r["first_word"] : r["last_word"] + 1]) in " ".join(dict(bench)[r["item_id"]])
