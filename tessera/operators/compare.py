@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .curves import binary_metrics, curve_points, recall_by
+from .curves import binary_metrics, confusion, curve_points, percentiles, recall_by
 
 CELL = ("tile_id", "year", "window_index")
 
@@ -36,6 +36,35 @@ def compare(scored: DataFrame, methods: Sequence[str]) -> DataFrame:
     return binary_metrics(long_form(scored, methods), "label", "score", ["method"])
 
 
+def at_thresholds(scored: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """The long form with each method's best-F1 threshold and ``flagged``, score >= threshold."""
+    flat = long_form(scored, methods)
+    best = binary_metrics(flat, "label", "score", ["method"]).select("method", "best_threshold")
+    return flat.join(F.broadcast(best), "method").withColumn("flagged", F.col("score") >= F.col("best_threshold"))  # a row a method
+
+
+def confusion_panels(scored: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """What the confusion plot shows: a row for each method, true class and predicted class."""
+    flat = at_thresholds(scored, methods)
+    m = confusion(flat, F.col("label") == 1, F.col("flagged"), ["method"])
+    cells = F.array(*(F.struct(F.lit(t).alias("true_class"), F.lit(p).alias("predicted_class"), F.col(c).alias("n")) for t, p, c in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))))
+    return m.select("method", F.explode(cells).alias("c")).select("method", "c.*")
+
+
+def recall_panels(scored: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """Recall by method and window at each method's best threshold; null without positives."""
+    flat = at_thresholds(scored, methods).withColumn("flag", F.col("flagged").cast("double"))
+    return recall_by(flat, "label", "flag", 1.0, ["method", "window_index"])
+
+
+def map_panels(tiles: DataFrame, scored: DataFrame, values: Sequence[str], key: str = "tile_id") -> DataFrame:
+    """Maps side by side: a row for each panel and tile (null where it has no value), with the
+    panel's colour range from the exact 5 to 95 percentile."""
+    flat = scored.select(key, F.explode(F.array(*(F.struct(F.lit(v).alias("panel"), F.col(v).cast("double").alias("value")) for v in values))).alias("_p")).select(key, "_p.*")
+    panels = tiles.select(F.explode(F.array(*(F.lit(v) for v in values))).alias("panel"), "*")
+    return panels.join(flat, ["panel", key], "left").join(F.broadcast(clip_range(flat, "value", by=["panel"])), "panel", "left")  # a row a panel
+
+
 def plot_tables(scored: DataFrame, methods: Sequence[str], thresholds: dict[str, float]) -> dict[str, DataFrame]:
     """What the plots show: curve points, and recall by window at each method's threshold."""
     flat = long_form(scored, methods)
@@ -50,8 +79,7 @@ def flag_counts(scored: DataFrame, score: str, threshold: float, by: Sequence[st
 
 def clip_range(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles, linear between ranks, nulls skipped."""
-    p = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    return df.groupBy(*by).agg(p.alias("_p")).select(*by, F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"))
+    return percentiles(df, value, {"low": low, "high": high}, by)
 
 
 def map_table(tiles: DataFrame, values: DataFrame, key: str = "tile_id") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import distance, snap_down
 
@@ -40,36 +41,125 @@ def neighbour_edges(tiles: DataFrame, radius: float, nearest: float = 1.0, ident
     return spot.join(sent, ["_bx", "_by"]).where((d > nearest) & (d <= radius)).select(F.col("_id").alias(ident), "nbr_id")
 
 
+def _edges(ring: Column) -> Column:
+    """Each corner with the next, the last with the first."""
+    n = F.size(ring)
+    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % n).alias("b")))
+
+
+def _crossed(px: Column, py: Column, e: Column) -> Column:
+    a, b = e["a"], e["b"]
+    return ((a["y"] > py) != (b["y"] > py)) & F.when(a["y"] != b["y"], px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(False)
+
+
+def _on(px: Column, py: Column, e: Column) -> Column:
+    a, b = e["a"], e["b"]
+    side = (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])
+    return (side == 0) & px.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & py.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+
 def in_polygon(px: Column, py: Column, ring: Column) -> Column:
     """Whether a point is in a ring (array of struct<x, y>, closed or not) or on its edge, by
     counting crossings; no Python."""
-    n = F.size(ring)
-    spin = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + 1) % n).alias("b")))
-    crossed = lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py)) & F.when(e["a"]["y"] != e["b"]["y"], px < (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]).otherwise(False)
-    inside = F.size(F.filter(spin, crossed)) % 2 == 1
-    side = lambda e: (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (px - e["a"]["x"])
-    on = lambda e: (side(e) == 0) & px.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & py.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
-    return inside | F.exists(spin, on)
+    return (F.size(F.filter(_edges(ring), lambda e: _crossed(px, py, e))) % 2 == 1) | F.exists(_edges(ring), lambda e: _on(px, py, e))
+
+
+def in_rings(px: Column, py: Column, rings: Column) -> Column:
+    """Whether a point is in the area that all rings of a record bound together (an array of rings:
+    outer ones, holes, several parts): an odd number of them holds it; or on the edge of one."""
+    one = lambda ring: F.size(F.filter(_edges(ring), lambda e: _crossed(px, py, e)))
+    return (F.aggregate(rings, F.lit(0), lambda n, r: n + one(r)) % 2 == 1) | F.exists(rings, lambda r: F.exists(_edges(r), lambda e: _on(px, py, e)))
+
+
+def _many(df: DataFrame, shape: str) -> bool:
+    """Whether a geometry column has several rings a row, or one."""
+    return isinstance(df.schema[shape].dataType.elementType, T.ArrayType)
+
+
+def _as_rings(df: DataFrame, shape: str) -> Column:
+    return F.col(shape) if _many(df, shape) else F.array(F.col(shape))
+
+
+def _coordinates(df: DataFrame, shape: str) -> tuple[Column, Column]:
+    points = F.flatten(_as_rings(df, shape))
+    return F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
 
 
 def bounds(polygons: DataFrame, ring: str = "ring", by: Sequence[str] = ()) -> DataFrame:
-    """The box of each group's polygons."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    """The box of each group's polygons; ``ring`` has one ring a row, or an array of rings."""
+    xs, ys = _coordinates(polygons, ring)
     return polygons.groupBy(*by).agg(F.min(F.array_min(xs)).alias("min_x"), F.min(F.array_min(ys)).alias("min_y"), F.max(F.array_max(xs)).alias("max_x"), F.max(F.array_max(ys)).alias("max_y"))
 
 
+def _moments(rings: Column) -> Column:
+    """struct<a, x, y>: twice the signed area, and six times the area's moments, of all rings."""
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(s: Column, e: Column) -> Column:
+        c = e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+        return F.struct((s["a"] + c).alias("a"), (s["x"] + (e["a"]["x"] + e["b"]["x"]) * c).alias("x"), (s["y"] + (e["a"]["y"] + e["b"]["y"]) * c).alias("y"))
+
+    return F.aggregate(F.flatten(F.transform(rings, _edges)), zero, step)
+
+
+def area(rings: Column) -> Column:
+    """Of an array of rings whose holes run the other way round than what they are holes of, as
+    files keep them and ``union_polygons`` gives them."""
+    return F.abs(_moments(rings)["a"]) / 2
+
+
+def centroid(rings: Column) -> Column:
+    """struct<x, y>, by area; null for rings without one."""
+    m = _moments(rings)
+    scale = F.nullif(3 * m["a"], F.lit(0.0))
+    return F.when(scale.isNotNull(), F.struct((m["x"] / scale).alias("x"), (m["y"] / scale).alias("y")))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, *, order: Sequence[Column], x: str = "x", y: str = "y", point_id: str = "point_id", ring: str = "ring") -> DataFrame:
-    """A left join of points with the first polygon (in ``order``) that holds them. A polygon goes
-    to the grid cells its box meets; a point to its own; only these pairs are tested."""
+    """A left join of points with the first polygon (in ``order``) that holds them; ``ring`` is a
+    ring or an array of rings (holes and parts). A polygon goes to the grid cells its box meets; a
+    point to its own; only these pairs are tested.
+
+    Defined cases: a point with a null id or coordinate, and one in no polygon, has nulls; a polygon
+    without points is in none; points that repeat an id get the first polygon that holds any of
+    them; a polygon's column that has the name of a point's is given as ``polygon_<name>``.
+    """
     cols = [c for c in polygons.columns if c != ring]
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    xs, ys = _coordinates(polygons, ring)
     cells = lambda v: F.sequence(F.floor(F.array_min(v) / size).cast("long"), F.floor(F.array_max(v) / size).cast("long"))
-    shapes = polygons.select(F.struct(*cols).alias("_poly"), F.col(ring).alias("_ring"), cells(xs).alias("_xs"), cells(ys).alias("_ys"))
+    shapes = polygons.select(F.struct(*cols).alias("_poly"), _as_rings(polygons, ring).alias("_rings"), cells(xs).alias("_xs"), cells(ys).alias("_ys"), F.struct(*order).alias("_order"))
     shapes = shapes.withColumn("_gx", F.explode("_xs")).withColumn("_gy", F.explode("_ys")).drop("_xs", "_ys")
     spots = points.select(F.col(point_id).alias("_pid"), F.col(x).alias("_px"), F.col(y).alias("_py"), F.floor(F.col(x) / size).cast("long").alias("_gx"), F.floor(F.col(y) / size).cast("long").alias("_gy"))
-    hits = spots.join(shapes, ["_gx", "_gy"]).where(in_polygon(F.col("_px"), F.col("_py"), F.col("_ring"))).select("_pid", "_poly.*")
-    first = hits.groupBy("_pid").agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_poly"))
-    return points.join(first, points[point_id] == first["_pid"], "left").select(*points.columns, "_poly.*")
+    hits = spots.join(shapes, ["_gx", "_gy"]).where(in_rings(F.col("_px"), F.col("_py"), F.col("_rings")))
+    first = hits.groupBy("_pid").agg(F.min_by("_poly", "_order").alias("_poly"))
+    named = [F.col("_poly")[c].alias(f"polygon_{c}" if c in points.columns else c) for c in cols]
+    return points.join(first, points[point_id] == first["_pid"], "left").select(*(points[c] for c in points.columns), *named)
+
+
+def tiles_in_polygons(tiles: DataFrame, polygons: DataFrame, size: float, ring: str = "ring") -> DataFrame:
+    """A semi join: the tiles (x0, y0, x1, y1; on a grid of ``size``) that meet any polygon: a corner
+    in it, or an edge of it in the tile. A polygon goes to the grid cells its box meets. A tile inside
+    a hole does not meet it."""
+    xs, ys = _coordinates(polygons, ring)
+    cells = lambda v: F.sequence(F.floor(F.array_min(v) / size).cast("long") - 1, F.floor(F.array_max(v) / size).cast("long"))
+    shapes = polygons.select(_as_rings(polygons, ring).alias("_rings"), F.explode(cells(xs)).alias("_gx"), cells(ys).alias("_ys")).select("_rings", "_gx", F.explode("_ys").alias("_gy"))
+    keyed = tiles.withColumns({"_gx": F.floor(F.col("x0") / size).cast("long"), "_gy": F.floor(F.col("y0") / size).cast("long")})
+    corner = lambda a, b: in_rings(F.col(a), F.col(b), F.col("_rings"))
+    edge = F.exists(F.flatten(F.transform("_rings", _edges)), lambda e: _meets_box(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+    meets = corner("x0", "y0") | corner("x0", "y1") | corner("x1", "y0") | corner("x1", "y1") | edge
+    return keyed.join(shapes, ["_gx", "_gy"]).where(meets).select(*tiles.columns).distinct()
+
+
+def clip_to_polygons(pixels: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
+    """The pixels whose centres are in any polygon; a pixel goes to one grid cell, a polygon to those
+    its box meets."""
+    xs, ys = _coordinates(polygons, ring)
+    cells = lambda v: F.sequence(F.floor(F.array_min(v) / size).cast("long"), F.floor(F.array_max(v) / size).cast("long"))
+    shapes = polygons.select(_as_rings(polygons, ring).alias("_rings"), F.explode(cells(xs)).alias("_gx"), cells(ys).alias("_ys")).select("_rings", "_gx", F.explode("_ys").alias("_gy"))
+    keyed = pixels.withColumns({"_gx": F.floor(F.col(x) / size).cast("long"), "_gy": F.floor(F.col(y) / size).cast("long")})
+    near = shapes.groupBy("_gx", "_gy").agg(F.collect_list("_rings").alias("_shapes"))  # the polygons that meet a cell
+    held = keyed.join(near, ["_gx", "_gy"]).where(F.exists("_shapes", lambda r: in_rings(F.col(x), F.col(y), r)))
+    return held.select(*pixels.columns)
 
 
 def tiles_in_polygon(tiles: DataFrame, ring: Sequence[tuple[float, float]]) -> DataFrame:
@@ -79,14 +169,13 @@ def tiles_in_polygon(tiles: DataFrame, ring: Sequence[tuple[float, float]]) -> D
     meets = corner("x0", "y0") | corner("x0", "y1") | corner("x1", "y0") | corner("x1", "y1")
     closed = list(ring) + [ring[0]]
     for (ax, ay), (bx, by) in zip(closed, closed[1:]):
-        meets = meets | ((F.lit(float(ax)) >= F.col("x0")) & (F.lit(float(ax)) <= F.col("x1")) & (F.lit(float(ay)) >= F.col("y0")) & (F.lit(float(ay)) <= F.col("y1")))
-        meets = meets | _segment_meets_box(ax, ay, bx, by)
+        meets = meets | _meets_box(*(F.lit(float(v)) for v in (ax, ay, bx, by)))
     return tiles.where(meets)
 
 
-def _segment_meets_box(ax: float, ay: float, bx: float, by: float) -> Column:
+def _meets_box(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Separating axes: the boxes overlap and the corners are not all on one side of the line."""
-    box = (F.col("x0") <= max(ax, bx)) & (F.col("x1") >= min(ax, bx)) & (F.col("y0") <= max(ay, by)) & (F.col("y1") >= min(ay, by))
+    box = (F.col("x0") <= F.greatest(ax, bx)) & (F.col("x1") >= F.least(ax, bx)) & (F.col("y0") <= F.greatest(ay, by)) & (F.col("y1") >= F.least(ay, by))
     side = lambda x, y: (bx - ax) * (F.col(y) - ay) - (by - ay) * (F.col(x) - ax)
     s = [side(x, y) for x in ("x0", "x1") for y in ("y0", "y1")]
     return box & (F.least(*s) <= 0) & (F.greatest(*s) >= 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Scene classes that hide the ground, and the floor below which radar has no data.
@@ -48,22 +48,65 @@ def composite_mean(scenes: DataFrame, keys: Sequence[str], bands: dict[str, Colu
     return scenes.groupBy(*keys).agg(*(F.avg(b).alias(k) for k, b in bands.items()))
 
 
-def focal_mean(pixels: DataFrame, value: str, size: int = 5, block: int = 512) -> DataFrame:
-    """Mean over a size x size neighbourhood on a dense grid (row, col); a missing neighbour or
-    value counts as 0. Each pixel gives its value to its neighbours' sums, which are combined
-    before the shuffle by (row, col)."""
-    half = size // 2
-    steps = F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-half, half + 1) for j in range(-half, half + 1)))
-    spread = pixels.select("row", "col", F.coalesce(F.col(value), F.lit(0.0)).alias("_v"), F.explode(steps).alias("_s"))
-    own = (F.col("_s.dr") == 0) & (F.col("_s.dc") == 0)
-    sums = spread.select((F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), "_v", own.alias("_own")).groupBy("row", "col")
-    return sums.agg((F.sum("_v") / float(size * size)).alias(value), F.bool_or("_own").alias("_own")).where("_own").drop("_own")
-
-
-def focal_mean_separable(pixels: DataFrame, value: str, size: int = 5) -> DataFrame:
-    """The same inside the border by two running means, along rows and then columns; at the
-    border the mean is over the cells there are. Each row, then each column, is one sort."""
-    half = size // 2
-    along = Window.partitionBy("row").orderBy("col").rowsBetween(-half, half)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(-half, half)
-    return pixels.withColumn(value, F.avg(F.coalesce(F.col(value), F.lit(0.0))).over(along)).withColumn(value, F.avg(value).over(down))
+def focal_mean(pixels: DataFrame, value: str, size: int = 5, keys: Sequence[str] = (), shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean over a size x size neighbourhood (row, col) in each raster (``keys``: year, window,
+    band ...), with the border reflected: before the first row comes the first row again, then the
+    second. A missing pixel or value counts as 0; only pixels that are there get a row.
+
+    ``shape`` is the number of rows and columns (at least ``size // 2``); without it a raster ends at
+    its last pixel. Two sums, along rows and then columns: a pixel goes to 2 x ``size`` sums, not
+    ``size`` squared, and these are combined before each shuffle by (keys, row, col).
+    """
+    half, keys = size // 2, list(keys)
+    if shape:
+        sized = pixels.withColumns({"_h": F.lit(shape[0]), "_w": F.lit(shape[1])})
+    else:
+        edge = pixels.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        sized = pixels.join(edge, on) if keys else pixels.crossJoin(F.broadcast(edge))  # one row
+
+    def summed(df: DataFrame, axis: str, extent: str) -> DataFrame:
+        """Adds up, at each place of the axis, the values that its neighbourhood reflects."""
+        at, n = F.col(axis), F.col(extent)
+        seen_at = F.array_compact(F.array(at, F.when(at < half, -1 - at), F.when(at >= n - half, 2 * n - 1 - at)))
+        reach = F.flatten(F.transform(seen_at, lambda m: F.sequence(m - half, m + half)))
+        sent = df.withColumn("_to", F.explode(F.filter(reach, lambda o: (o >= 0) & (o < n))))
+        other = "col" if axis == "row" else "row"
+        sums = sent.groupBy(*keys, other, F.col("_to").alias("_at"), "_h", "_w").agg(F.sum("_v").alias("_v"), F.bool_or(F.col("_own") & (F.col("_to") == at)).alias("_own"))
+        return sums.withColumnRenamed("_at", axis)
+
+    flat = sized.select(*keys, "row", "col", "_h", "_w", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"), F.lit(True).alias("_own"))
+    sums = summed(summed(flat, "col", "_w"), "row", "_h")
+    return sums.where("_own").select(*keys, "row", "col", (F.col("_v") / float(size * size)).alias(value))
+
+
+#: The same; its sums have always been separable.
+focal_mean_separable = focal_mean
+
+
+def regrid(blocks: DataFrame, origin: tuple[float, float], pixel: float, shape: tuple[int, int], keys: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Pixels with centres x, y dealt to the grid whose upper left corner is ``origin`` (y falls
+    with rows): nearest pixel centre, the source pixel nearest to it if several are, ties to the
+    smaller x, then y. Pixels outside the grid are left out; places without a pixel have no row."""
+    col, row = F.floor((F.col("x") - origin[0]) / pixel).cast("int"), F.floor((origin[1] - F.col("y")) / pixel).cast("int")
+    placed = blocks.withColumns({"row": row, "col": col}).where(F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1))
+    cx, cy = origin[0] + (F.col("col") + 0.5) * pixel, origin[1] - (F.col("row") + 0.5) * pixel
+    away = (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)
+    return placed.groupBy(*keys, "row", "col").agg(F.min_by(value, F.struct(away, "x", "y")).alias(value))
+
+
+def chips(pixels: DataFrame, tiles: DataFrame, pixel: float, size: int = 512, bands: Sequence[int] = (1,), value: str = "value", fill: float = 0.0) -> DataFrame:
+    """A row for each tile and band with ``chip``, its size x size pixels row by row (north first):
+    each place takes the pixel whose square holds its centre, ``fill`` where there is none (beyond
+    the raster's edge). ``pixels``: band, x, y of centres and a value; ``tiles``: tile_id, x0, y0, x1,
+    y1 of squares. Pixels and places meet by the pixel grid's indices, not by a range."""
+    side = (F.col("x1") - F.col("x0")) / size
+    px = F.floor(F.col("x") / pixel).cast("long"), F.floor(F.col("y") / pixel).cast("long")
+    known = pixels.groupBy("band", px[0].alias("_gx"), px[1].alias("_gy")).agg(F.max(value).alias("_v"))
+    places = tiles.select("tile_id", "x0", "y1", side.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("_i"))
+    x, y = F.col("x0") + (F.col("_i") % size + 0.5) * F.col("_s"), F.col("y1") - (F.floor(F.col("_i") / size) + 0.5) * F.col("_s")
+    places = places.select("tile_id", "_i", F.floor(x / pixel).cast("long").alias("_gx"), F.floor(y / pixel).cast("long").alias("_gy"))
+    found = places.join(known, ["_gx", "_gy"]).groupBy("tile_id", "band").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
+    every = tiles.select("tile_id", F.explode(F.array(*(F.lit(b) for b in bands))).alias("band"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(fill)))
+    return every.join(found, ["tile_id", "band"], "left").select("tile_id", "band", filled.alias("chip"))

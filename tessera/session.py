@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +23,48 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSessi
     )
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in ``spark.checkpoint.dir`` or, by
+    ``setCheckpointDir``, in the context. Only on one machine (a local master) is one made where
+    neither names any; on a cluster that is an error, as its machines share no folder of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; only where the cluster names
-    none (``spark.checkpoint.dir``), as in tests, in one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is listed, and ``cleanup`` removes it."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+#: Intermediate paths of this driver that have not been removed yet.
+_written: list[str] = []
+
+
+def cleanup(spark: SparkSession, since: int = 0) -> int:
+    """Removes the intermediate tables written so far (from the ``since``-th on); call it when the
+    results that read them are written or no longer needed. Returns how many there were."""
+    n = len(_written) - since
+    while len(_written) > since:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it results are computed and written; at its end their intermediate tables go."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        cleanup(spark, mark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POLYGON_SCHEMA = "path string, record int, ring array<struct<x: double, y: double>>, attributes map<string, string>"
+from ..functions.calendar import tuesday_on_or_before
+
+POLYGON_SCHEMA = "path string, record int, ring array<struct<x: double, y: double>>, rings array<array<struct<x: double, y: double>>>, attributes map<string, string>"
 
 
 def partitioned(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """Composites laid out by (sensor, year, window_index); a year reads only its partitions."""
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    """Composites laid out by (sensor, year, window_index); a year reads only its partitions. A
+    corrupt file fails the read; ``corrupt_files`` names it."""
+    df = spark.read.parquet(path)
     return df if year is None else df.where(F.col("year") == year)
 
 
@@ -35,6 +38,16 @@ def usable_files(spark: SparkSession, path: str, glob: str = "*", min_bytes: int
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).where(F.col("length") > min_bytes).select("path", "length")
 
 
+def corrupt_files(spark: SparkSession, path: str, min_bytes: int = 12) -> DataFrame:
+    """The quarantine table of a folder of Parquet files: (path, length, error) of those that are
+    too short, or do not begin and end as such files do. Files of no bytes hold no rows and are not seen."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    mark = F.lit(b"PAR1")
+    head, tail = F.substring("content", 1, 4), F.substring("content", -4, 4)
+    error = F.when(F.col("length") < min_bytes, "too short").when(head != mark, "no head").when(tail != mark, "cut off")
+    return files.select("path", "length", error.alias("error")).where("error is not null")
+
+
 def first_file(files: DataFrame, by: list[str]) -> DataFrame:
     """One file a key: the first by path."""
     return files.groupBy(*by).agg(F.min("path").alias("path"))
@@ -113,8 +126,8 @@ def _dbf_rows(data: bytes) -> list[dict[str, str]]:
     return out
 
 
-def _shp_rings(data: bytes) -> Iterator[tuple[int, list[dict[str, float]]]]:
-    """(record, ring) of each part of each polygon."""
+def _shp_records(data: bytes) -> Iterator[tuple[int, list[list[dict[str, float]]]]]:
+    """(record, rings) of each polygon: all its parts, outer rings and holes alike."""
     at = 100
     while at + 12 <= len(data):
         record, words = struct.unpack_from(">II", data, at)
@@ -123,14 +136,17 @@ def _shp_rings(data: bytes) -> Iterator[tuple[int, list[dict[str, float]]]]:
             parts, points = struct.unpack_from("<II", data, at + 44)
             first = [*struct.unpack_from(f"<{parts}I", data, at + 52), points]
             xy = struct.unpack_from(f"<{2 * points}d", data, at + 52 + 4 * parts)
-            for s, e in zip(first, first[1:]):
-                yield record, [{"x": xy[2 * k], "y": xy[2 * k + 1]} for k in range(s, e)]
+            yield record, [[{"x": xy[2 * k], "y": xy[2 * k + 1]} for k in range(s, e)] for s, e in zip(first, first[1:])]
+        elif kind:
+            raise ValueError(f"record {record} is of shape type {kind}, not a polygon")
         at += 8 + 2 * words
 
 
 def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of the shapefiles below a path: a row a ring, with the record's attributes. A
-    file's .shp and .dbf meet by their stem; a missing .dbf leaves no attributes."""
+    """Polygons of the shapefiles below a path: a row a record, with all its ``rings`` (holes and
+    parts) and its attributes; ``ring`` is the only ring of a record that has one, else null. A
+    file's .shp and .dbf meet by their stem; a missing .dbf leaves no attributes; records without a
+    shape are left out, other shapes than polygons fail the read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(shp|dbf)$"))
     stem = F.regexp_replace("path", r"\.[^.]+$", "")
     pairs = files.groupBy(stem.alias("path")).agg(F.max(F.when(F.lower("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.lower("path").endswith(".dbf"), F.col("content"))).alias("dbf")).where("shp is not null")
@@ -139,12 +155,28 @@ def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
         for part in parts:
             for path, shp, dbf in part[["path", "shp", "dbf"]].itertuples(index=False):
                 attributes = _dbf_rows(bytes(dbf)) if dbf is not None else []
-                rows = [(path, record, ring, attributes[record - 1] if record <= len(attributes) else {}) for record, ring in _shp_rings(bytes(shp))]
-                yield pd.DataFrame(rows, columns=["path", "record", "ring", "attributes"])
+                rows = [(path, record, rings[0] if len(rings) == 1 else None, rings, attributes[record - 1] if record <= len(attributes) else {}) for record, rings in _shp_records(bytes(shp))]
+                for lo in range(0, len(rows), 100):
+                    yield pd.DataFrame(rows[lo : lo + 100], columns=["path", "record", "ring", "rings", "attributes"])
 
     return pairs.mapInPandas(run, POLYGON_SCHEMA)
 
 
+def drought_snapshots(polygons: DataFrame, windows: DataFrame) -> DataFrame:
+    """Windows (with start_date) and the drought polygons of the Tuesday on or before each: a row for
+    each polygon, one with nulls where that snapshot is missing, so that a window whose snapshot
+    could not be had is told from one without drought. ``polygons``: snapshot_date and more."""
+    wanted = windows.withColumn("usdm_date", tuesday_on_or_before(F.col("start_date")))
+    there = polygons.select("snapshot_date").distinct().withColumn("has_snapshot", F.lit(True))
+    dated = wanted.join(there, wanted["usdm_date"] == there["snapshot_date"], "left").drop("snapshot_date").withColumn("has_snapshot", F.coalesce("has_snapshot", F.lit(False)))
+    return dated.join(polygons, dated["usdm_date"] == polygons["snapshot_date"], "left").drop("snapshot_date")
+
+
+def strip_suffix(name: Column, suffix: str) -> Column:
+    """The name without the suffix, once, if it ends with it."""
+    return F.when(name.endswith(suffix) & F.lit(bool(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(name)
+
+
 def attribute(column: Column, *names: str) -> Column:
     """The first of some names that an attribute map has (a drought class is DM, dm, Class ...)."""
     return F.coalesce(*(F.element_at(column, n) for n in names))
