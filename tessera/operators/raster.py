@@ -84,29 +84,35 @@ def focal_mean(pixels: DataFrame, value: str, size: int = 5, keys: Sequence[str]
 focal_mean_separable = focal_mean
 
 
-def regrid(blocks: DataFrame, origin: tuple[float, float], pixel: float, shape: tuple[int, int], keys: Sequence[str] = (), value: str = "value") -> DataFrame:
+def regrid(blocks: DataFrame, origin: tuple[float, float], pixel: float, shape: tuple[int, int], keys: Sequence[str] = (), value: str = "value", digits: int = 9) -> DataFrame:
     """Pixels with centres x, y dealt to the grid whose upper left corner is ``origin`` (y falls
-    with rows): nearest pixel centre, the source pixel nearest to it if several are, ties to the
-    smaller x, then y. Pixels outside the grid are left out; places without a pixel have no row."""
+    with rows): nearest pixel centre, the source pixel nearest to it if several are (squared
+    distances to ``digits`` decimals), ties to the smaller x, then y, then value. Pixels outside the grid are left out; places without a pixel have no row."""
     col, row = F.floor((F.col("x") - origin[0]) / pixel).cast("int"), F.floor((origin[1] - F.col("y")) / pixel).cast("int")
     placed = blocks.withColumns({"row": row, "col": col}).where(F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1))
     cx, cy = origin[0] + (F.col("col") + 0.5) * pixel, origin[1] - (F.col("row") + 0.5) * pixel
     away = (F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)
-    return placed.groupBy(*keys, "row", "col").agg(F.min_by(value, F.struct(away, "x", "y")).alias(value))
+    return placed.groupBy(*keys, "row", "col").agg(F.min_by(value, F.struct(F.round(away, digits), "x", "y", value)).alias(value))
 
 
-def chips(pixels: DataFrame, tiles: DataFrame, pixel: float, size: int = 512, bands: Sequence[int] = (1,), value: str = "value", fill: float = 0.0) -> DataFrame:
-    """A row for each tile and band with ``chip``, its size x size pixels row by row (north first):
-    each place takes the pixel whose square holds its centre, ``fill`` where there is none (beyond
-    the raster's edge). ``pixels``: band, x, y of centres and a value; ``tiles``: tile_id, x0, y0, x1,
-    y1 of squares. Pixels and places meet by the pixel grid's indices, not by a range."""
+def chips_of(pixels: DataFrame, tiles: DataFrame, pixel: float, size: int = 512, value: str = "value", fill: float = 0.0) -> DataFrame:
+    """``chips`` of the tiles and bands that have any pixel; a band may be of any type."""
     side = (F.col("x1") - F.col("x0")) / size
     px = F.floor(F.col("x") / pixel).cast("long"), F.floor(F.col("y") / pixel).cast("long")
-    known = pixels.groupBy("band", px[0].alias("_gx"), px[1].alias("_gy")).agg(F.max(value).alias("_v"))
+    known = pixels.groupBy("band", px[0].alias("_gx"), px[1].alias("_gy")).agg(F.max(value).cast("double").alias("_v"))
     places = tiles.select("tile_id", "x0", "y1", side.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("_i"))
     x, y = F.col("x0") + (F.col("_i") % size + 0.5) * F.col("_s"), F.col("y1") - (F.floor(F.col("_i") / size) + 0.5) * F.col("_s")
     places = places.select("tile_id", "_i", F.floor(x / pixel).cast("long").alias("_gx"), F.floor(y / pixel).cast("long").alias("_gy"))
     found = places.join(known, ["_gx", "_gy"]).groupBy("tile_id", "band").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
-    every = tiles.select("tile_id", F.explode(F.array(*(F.lit(b) for b in bands))).alias("band"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(fill)))
-    return every.join(found, ["tile_id", "band"], "left").select("tile_id", "band", filled.alias("chip"))
+    return found.select("tile_id", "band", filled.alias("chip"))
+
+
+def chips(pixels: DataFrame, tiles: DataFrame, pixel: float, size: int = 512, bands: Sequence[int] = (1,), value: str = "value", fill: float = 0.0) -> DataFrame:
+    """A row for each tile and band with ``chip``, its size x size pixels row by row (north first):
+    each place takes the pixel whose square holds its centre, ``fill`` where there is none (beyond
+    the raster's edge). ``pixels``: band, x, y of centres and a value; ``tiles``: tile_id, x0, y0, x1,
+    y1 of squares. Pixels and places meet by the pixel grid's indices, not by a range; of several
+    pixels on one place the greatest counts."""
+    every = tiles.select("tile_id", F.explode(F.array(*(F.lit(b) for b in bands))).alias("band"))
+    return every.join(chips_of(pixels, tiles, pixel, size, value, fill), ["tile_id", "band"], "left").select("tile_id", "band", F.coalesce("chip", F.array_repeat(F.lit(fill), size * size)).alias("chip"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,28 +19,12 @@ from ..operators import labels as L
 from ..operators import ordered as O
 from ..operators import raster as R
 from ..operators import sequence as Q
+from ..operators import union as N
 from ..session import read_table, shared_path
 from ..sources import readers
 from ..streaming import ledger as W
 from .inputs import CELLS, COSINE, EDGES, HISTORY, HISTORY_SQL, JUDGED, LABELLED, SCORED, SIDE, TILES, VECTORS, cells, judged, labelled, pixels, tiles, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
+from .registry import QUERIES, SQL, query, rounded  # noqa: F401
 
 def _text(*names: str):
     return (F.col(n).cast("string").alias(n) for n in names)
@@ -134,11 +116,9 @@ with z as (select l_suppkey as tile_id, cast(year(l_shipdate) as int) as year, a
 m as (select tile_id, avg(f) as mean_frac from z group by 1)
 select cast(row_number() over (order by tile_id) as int) as new_id, tile_id, round(mean_frac, 6) as mean_frac from m where mean_frac >= 0.30""")
 def threshold_keep_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     z = R.zonal_fractions(pixels(spark, sf_dir), "scl", {"corn": 1, "soy": 5}, ["tile_id", "year"])
     kept = z.groupBy("tile_id").agg(F.avg(F.col("corn_frac") + F.col("soy_frac")).alias("mean_frac")).where("mean_frac >= 0.30")
-    return rounded(kept.select(F.row_number().over(Window.orderBy("tile_id")).alias("new_id"), "tile_id", "mean_frac"), "mean_frac")  # a row a tile
+    return rounded(O.renumber(kept, "tile_id").withColumn("new_id", F.col("new_id").cast("int")), "mean_frac")
 
 
 @query("""
@@ -170,10 +150,20 @@ def temporal_mean_nodata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DENSE = """grid as (select cast(l_orderkey % 40 as int) as "row", cast(l_partkey % 40 as int) as col, round(avg(l_quantity), 6) as vv from lineitem group by 1, 2)"""
 
 
-@query(f"""with {_DENSE} select a."row", a.col, round(sum(b.vv) / 25.0, 6) as vv from grid a join grid b on abs(a."row" - b."row") <= 2 and abs(a.col - b.col) <= 2 group by 1, 2""")
+_MIRROR = """near as (select cast(r.i as int) as o, cast(case when r.i + d.i < 0 then -1 - (r.i + d.i) when r.i + d.i >= 40 then 79 - (r.i + d.i) else r.i + d.i end as int) as src from range(40) r(i), range(-2, 3) d(i))"""
+
+
+@query(f"""with {_DENSE}, {_MIRROR} select a."row", a.col, round(sum(b.vv) / 25.0, 6) as vv from grid a join near r on r.o = a."row" join near c on c.o = a.col join grid b on b."row" = r.src and b.col = c.src group by 1, 2""")
 def focal_mean_5x5(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = rounded(R.composite_mean(pixels(spark, sf_dir), ["row", "col"], {"vv": F.col("quantity")}), "vv")
-    return rounded(R.focal_mean(grid, "vv"), "vv")
+    return rounded(R.focal_mean(grid, "vv", shape=(40, 40)), "vv")
+
+
+@query(f"""with grid as (select cast(year(l_shipdate) as int) as year, cast(l_orderkey % 40 as int) as "row", cast(l_partkey % 40 as int) as col, round(avg(l_quantity), 6) as vv from lineitem group by all), {_MIRROR}
+select a.year, a."row", a.col, round(sum(b.vv) / 25.0, 6) as vv from grid a join near r on r.o = a."row" join near c on c.o = a.col join grid b on b.year = a.year and b."row" = r.src and b.col = c.src group by all""")
+def focal_mean_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = rounded(R.composite_mean(pixels(spark, sf_dir), ["year", "row", "col"], {"vv": F.col("quantity")}), "vv")
+    return rounded(R.focal_mean(grid, "vv", keys=["year"], shape=(40, 40)), "vv")
 
 
 @query("""
@@ -221,6 +211,106 @@ def tiles_meeting_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.tiles_in_polygon(grid, ((10000.0, 10000.0), (30000.0, 10000.0), (30000.0, 45000.0), (10000.0, 45000.0))).select("tile_id", "x0", "y0")
 
 
+#: A square with a hole and a second part, in tile units: (class, rings).
+_HOLED = ((1, (((0, 0), (6, 0), (6, 8), (0, 8)), ((2, 2), (2, 5), (4, 5), (4, 2)), ((8, 1), (10, 1), (10, 3), (8, 3)))),)
+
+
+def _square(side: float):
+    x, y = F.col("x"), F.col("y")
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    return F.array(corner(x, y), corner(x + side, y), corner(x + side, y + side), corner(x, y + side))
+
+
+def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of one and a half tiles, so that neighbours overlap, by nation."""
+    nation = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile_id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    return tiles(spark, sf_dir).join(nation, "tile_id").withColumn("ring", _square(1.5 * SIDE))
+
+
+@query(f"""with {TILES} select tile_id, x, y, case when (x between 0 and {6 * SIDE} and y between 0 and {8 * SIDE} and not (x > {2 * SIDE} and x < {4 * SIDE} and y > {2 * SIDE} and y < {5 * SIDE})) or (x between {8 * SIDE} and {10 * SIDE} and y between {SIDE} and {3 * SIDE}) then 1 end as dm from tiles""")
+def point_in_holed_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile corners in a record of three rings: an outer one, its hole, and another part."""
+    shapes = [(c, [[{"x": x * SIDE, "y": y * SIDE} for x, y in ring] for ring in rings]) for c, rings in _HOLED]
+    polygons = spark.createDataFrame(shapes, "dm int, rings array<array<struct<x: double, y: double>>>")
+    return G.points_in_polygons(tiles(spark, sf_dir), polygons, 2 * SIDE, order=[F.col("dm")], point_id="tile_id", ring="rings")
+
+
+@query(f"""with {TILES} select s_nationkey as nation, min(x) as min_x, min(y) as min_y, max(x) + {1.5 * SIDE} as max_x, max(y) + {1.5 * SIDE} as max_y from tiles join supplier on s_suppkey = tile_id group by 1""")
+def nation_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.bounds(_plots(spark, sf_dir), by=["nation"])
+
+
+@query(f"""with {TILES}, small as (select s_nationkey as nation, cast(x / {SIDE / 2} as bigint) + a.i as cx, cast(y / {SIDE / 2} as bigint) + b.i as cy from tiles join supplier on s_suppkey = tile_id, range(3) a(i), range(3) b(i)),
+n as (select s_nationkey as nation, count(*) as n_polygons from supplier group by 1)
+select nation, n_polygons, round(count(distinct (cx, cy)) * {SIDE / 2 * SIDE / 2}::double, 3) as area, round(min(cx) * {SIDE / 2}::double, 3) as min_x, round((max(cy) + 1) * {SIDE / 2}::double, 3) as max_y from small join n using (nation) group by all""")
+def polygon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of each nation's overlapping squares: its area and two of its bounds."""
+    u = N.union_polygons(_plots(spark, sf_dir), ["nation"])
+    box = G.bounds(u, "rings", ["nation"]).select("nation", F.round("min_x", 3).alias("min_x"), F.round("max_y", 3).alias("max_y"))
+    return u.select("nation", "n_polygons", F.round(G.area(F.col("rings")), 3).alias("area")).join(box, "nation")
+
+
+@query("""select n_nationkey as nation, cast((10 + n_nationkey) * (10 + n_nationkey) - 4.0 * n_regionkey as double) as area, round(((10 + n_nationkey) * (10 + n_nationkey) * (10 + n_nationkey) / 2.0 - 4.0 * n_regionkey * (1 + n_regionkey)) / ((10 + n_nationkey) * (10 + n_nationkey) - 4.0 * n_regionkey), 6) as centre_x,
+round(((10 + n_nationkey) * (10 + n_nationkey) * (10 + n_nationkey) / 2.0 - 4.0 * n_regionkey * 2) / ((10 + n_nationkey) * (10 + n_nationkey) - 4.0 * n_regionkey), 6) as centre_y from nation""")
+def area_and_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square as wide as the nation's number and ten, with a hole of 2 x region by 2."""
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    k, h, one, zero = F.col("n_nationkey") + 10, 2 * F.col("n_regionkey"), F.lit(1), F.lit(0)
+    outer = F.array(corner(zero, zero), corner(k, zero), corner(k, k), corner(zero, k))
+    hole = F.array(corner(one, one), corner(one, one + 2), corner(one + h, one + 2), corner(one + h, one))
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.array(outer, hole).alias("rings"))
+    return rounded(n.select("nation", G.area(F.col("rings")).alias("area"), G.centroid(F.col("rings")).alias("c")).select("nation", "area", F.col("c.x").alias("centre_x"), F.col("c.y").alias("centre_y")), "centre_x", "centre_y")
+
+
+@query(f"""with {TILES}, plots as (select x, y from tiles join supplier on s_suppkey = tile_id where s_acctbal > 4000),
+g as (select i, j, i * {SIDE}::double as x0, j * {SIDE}::double as y0 from range(10) a(i), range(110) b(j))
+select distinct cast(i * 110 + j + 1 as bigint) as tile_id, x0, y0 from g, plots where x0 <= x + {1.5 * SIDE} and x0 + {SIDE} >= x and y0 <= y + {1.5 * SIDE} and y0 + {SIDE} >= y""")
+def tiles_meeting_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = G.tile_grid(spark, (0.0, 0.0, 10 * SIDE, 110 * SIDE), SIDE)
+    return G.tiles_in_polygons(grid, _plots(spark, sf_dir).where("balance > 4000").select("ring"), SIDE).select("tile_id", "x0", "y0")
+
+
+@query("""select cast(year(l_shipdate) as int) as year, count(*) as n_pixels, cast(sum(l_linenumber) as bigint) as total from lineitem
+where (l_partkey % 40 between 5 and 29 and l_orderkey % 40 between 5 and 34 and not (l_partkey % 40 between 10 and 19 and l_orderkey % 40 between 10 and 14)) group by 1""")
+def pixels_of_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = [[{"x": float(x), "y": float(y)} for x, y in r] for r in (((5, 5), (30, 5), (30, 35), (5, 35)), ((10, 10), (10, 15), (20, 15), (20, 10)))]
+    aoi = spark.createDataFrame([(rings,)], "rings array<array<struct<x: double, y: double>>>")
+    p = pixels(spark, sf_dir).withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5})
+    return G.clip_to_polygons(p, aoi, 8.0, ring="rings").groupBy("year").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("scl").alias("total"))
+
+
+@query("""with px as (select cast(l_orderkey % 40 as int) as r, cast(l_partkey % 40 as int) as c, max(l_linenumber) as v from lineitem group by 1, 2),
+places as (select cast(ti * 3 + tj + 1 as bigint) as tile_id, cast(k * 8 + i as int) as place, ti * 16 + 2 * i + 1 as x, (tj + 1) * 16 - 2 * k - 1 as y from range(3) a(ti), range(3) b(tj), range(8) c(i), range(8) d(k))
+select tile_id, place, cast(coalesce(v, 0) as double) as value from places left join px on px.c = x and px.r = y""")
+def tile_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips of 16 x 16 pixels resampled to 8 x 8; the last tiles reach beyond the raster."""
+    p = R.mosaic_max(pixels(spark, sf_dir), "scl").select(F.lit(1).alias("band"), (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), F.col("scl").cast("double").alias("value"))
+    grid = G.tile_grid(spark, (0.0, 0.0, 48.0, 48.0), 16.0)
+    return R.chips(p, grid, 1.0, size=8).select("tile_id", F.posexplode("chip").alias("place", "value"))
+
+
+@query("""with p as (select cast(year(l_shipdate) as int) as year, (l_orderkey % 400) / 10.0::double as x, (l_partkey % 400) / 10.0::double as y, l_quantity as v from lineitem),
+g as (select *, cast(floor(x) as int) as col, cast(floor(40 - y) as int) as "row" from p), k as (select *, (x - (col + 0.5)) * (x - (col + 0.5)) + (y - (40 - ("row" + 0.5))) * (y - (40 - ("row" + 0.5))) as away from g where "row" between 0 and 39 and col between 0 and 39)
+select year, "row", col, v as value from k qualify row_number() over (partition by year, "row", col order by round(away, 9), x, y, v) = 1""")
+def scenes_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), ((F.col("l_orderkey") % 400) / 10.0).alias("x"), ((F.col("l_partkey") % 400) / 10.0).alias("y"), F.col("l_quantity").alias("value"))
+    return R.regrid(li, (0.0, 40.0), 1.0, (40, 40), ["year"], digits=9)
+
+
+@query("""with px as (select cast(year(l_shipdate) as int) as composite, cast(l_orderkey % 40 as int) as r, cast(l_partkey % 40 as int) as c, max(l_linenumber) as v, max(l_quantity) as w from lineitem group by all),
+every as (select composite, ti * 3 + tj + 1 as tile_id, ti * 16 + i as x, tj * 16 + k as y from (select distinct composite from px), range(3) a(ti), range(3) b(tj), range(16) c(i), range(16) d(k))
+select e.composite, cast(tile_id as bigint) as tile_id, round(avg((coalesce(v, 0) - 3.0) / 2.0), 4) as band_1, round(avg((coalesce(w, 0) - 25.0) / 10.0), 4) as band_2 from every e left join px on px.composite = e.composite and px.r = y and px.c = x group by all""")
+def composite_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From yearly composites of two bands to tile vectors, by an encoder that can be followed."""
+    p = pixels(spark, sf_dir).groupBy(F.col("year").alias("composite"), "row", "col").agg(F.max("scl").cast("double").alias("v"), F.max("quantity").alias("w"))
+    bands = F.explode(F.array(F.struct(F.lit(1).alias("band"), F.col("v").alias("value")), F.struct(F.lit(2).alias("band"), F.col("w").alias("value"))))
+    p = p.select("composite", F.make_date("composite", F.lit(4), F.lit(1)).alias("day"), (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), bands.alias("b")).select("composite", "day", "x", "y", "b.*")
+    grid = G.tile_grid(spark, (0.0, 0.0, 48.0, 48.0), 16.0).withColumns({"lat": F.lit(42.0), "lon": F.lit(-93.0)})
+    stats = spark.createDataFrame([(1, 3.0, 2.0), (2, 25.0, 10.0)], "band int, mean double, std double")
+    e = E.embed_composites(p, grid, stats, E.PatchMeans(2, 4), pixel=1.0, size=16)
+    return rounded(e.select("composite", "tile_id", F.col("embedding")[0].cast("double").alias("band_1"), F.col("embedding")[1].cast("double").alias("band_2")), "band_1", "band_2", digits=4)
+
+
 @query(f"with {TILES}, {EDGES} select tile_id, nbr_id from edges")
 def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbour_edges(tiles(spark, sf_dir), 8192.0)
@@ -351,19 +441,19 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Vectors and distances
 
-_HIST = "hm as (select label, list(m order by i) as mv, max(n) as n from (select label, i, avg(v[i]) as m, count(*) as n from (select label, v, unnest(range(1, len(v) + 1)) as i from vecs where vec_id % 8 < 7) group by all) group by 1)"
+_HIST = "hm as (select label, list(m order by i) as mv, max(n) as n from (select label, i, avg(v[i]) as m, count(*) as n from (select label, v, unnest(range(1, len(v) + 1)) as i from vecs) group by all) group by 1)"
 
 
 @query(f"with {VECTORS}, {_HIST} select label, n as n_history, cast(i as int) as i, round(mv[i], 6) as mean from (select label, n, mv, unnest(range(1, len(mv) + 1)) as i from hm)")
 def history_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = V.mean_vector(vectors(spark, sf_dir).where("vec_id % 8 < 7"), ["label"], "embedding")
+    m = V.mean_vector(vectors(spark, sf_dir), ["label"], "embedding")
     return rounded(m.select("label", F.col("n").alias("n_history"), F.posexplode("mean_vector").alias("i", "mean")).withColumn("i", F.col("i") + 1), "mean")
 
 
-@query(f"with {VECTORS}, {_HIST} select q.vec_id, q.label, coalesce(hm.n, 0) as n_history, round({COSINE.format(a='q.v', b='hm.mv')}, 6) as distance from vecs q left join hm using (label) where vec_id % 8 = 7")
+@query(f"with {VECTORS}, {_HIST} select q.vec_id, q.label, coalesce(hm.n, 0) as n_history, round({COSINE.format(a='q.v', b='hm.mv')}, 6) as distance from vecs q left join hm using (label)")
 def cosine_to_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return rounded(D.distance_to_history(v.where("vec_id % 8 < 7"), v.where("vec_id % 8 = 7"), ["label"]).select("vec_id", "label", "n_history", "distance"), "distance")
+    return rounded(D.distance_to_history(v, v, ["label"]).select("vec_id", "label", "n_history", "distance"), "distance")
 
 
 @query(f"""with {VECTORS}, pairs as (select a.vec_id, list_concat(a.v, b.v) as x, list_concat(b.v, a.v) as y, least(a.label, b.label) as n from vecs a join vecs b on b.vec_id = a.vec_id + 1)
@@ -385,19 +475,20 @@ def band_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("i", F.col("i") + 1), "x", digits=5)
 
 
-@query("""with a as (select vec_id, round(embedding[1]::double, 6) as s2_dist from embeddings where vec_id % 3 <> 0), b as (select vec_id, round(embedding[2]::double, 6) as s1_dist from embeddings where vec_id % 4 <> 0), c as (select vec_id, round(embedding[3]::double, 6) as combined_dist from embeddings where vec_id % 12 <> 5)
+@query("""with a as (select vec_id, round(embedding[1]::double, 6) as s2_dist from embeddings where embedding[1] > 0), b as (select vec_id, round(embedding[2]::double, 6) as s1_dist from embeddings where embedding[2] > 0), c as (select vec_id, round(embedding[3]::double, 6) as combined_dist from embeddings where embedding[3] > 0)
 select vec_id, s2_dist, s1_dist, combined_dist from a full join b using (vec_id) full join c using (vec_id)""")
 def distances_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    part = lambda i, name, cond: v.where(cond).select("vec_id", F.round(F.col("embedding")[i].cast("double"), 6).alias(name))
-    return D.merge_distances(part(0, "s2_dist", "vec_id % 3 <> 0"), part(1, "s1_dist", "vec_id % 4 <> 0"), part(2, "combined_dist", "vec_id % 12 <> 5"), ["vec_id"])
+    # A vector has a distance of a kind where that element is positive.
+    part = lambda i, name: v.where(F.col("embedding")[i] > 0).select("vec_id", F.round(F.col("embedding")[i].cast("double"), 6).alias(name))
+    return D.merge_distances(part(0, "s2_dist"), part(1, "s1_dist"), part(2, "combined_dist"), ["vec_id"])
 
 
 # Comparison and maps
 
 _SCORES = f"""{LABELLED}, base as (select tile_id, year, window_index, round(-ndvi, 6) as ndvi_score from labelled),
-gru as (select tile_id, year, window_index, round(1 / (1 + exp(z)), 6) as gru_score from labelled where tile_id % 7 <> 0 and z is not null),
-dist as (select tile_id, year, window_index, round(abs(z), 3) as dist_score from labelled where window_index % 5 <> 0),
+gru as (select tile_id, year, window_index, round(1 / (1 + exp(z)), 6) as gru_score from labelled where z is not null),
+dist as (select tile_id, year, window_index, round(abs(z), 3) as dist_score from labelled where history_count > 2),
 cmp as (select l.tile_id, l.year, l.window_index, l.label, ndvi_score, dist_score, gru_score from labelled l left join base using (tile_id, year, window_index) left join dist using (tile_id, year, window_index) left join gru using (tile_id, year, window_index)
   where l.year = 2000 and l.label in (0, 1) and ndvi_score is not null and dist_score is not null and gru_score is not null)"""
 
@@ -405,8 +496,8 @@ cmp as (select l.tile_id, l.year, l.window_index, l.label, ndvi_score, dist_scor
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labelled(spark, sf_dir)
     base = lab.withColumn("s", F.round(-F.col("ndvi"), 6))
-    dist = lab.where("window_index % 5 <> 0").withColumn("s", F.round(F.abs("z"), 3))
-    gru = lab.where("tile_id % 7 <> 0 and z is not null").withColumn("s", F.round(S.sigmoid(-F.col("z")), 6))
+    dist = lab.where("history_count > 2").withColumn("s", F.round(F.abs("z"), 3))
+    gru = lab.where("z is not null").withColumn("s", F.round(S.sigmoid(-F.col("z")), 6))
     return M.side_by_side(lab.select("tile_id", "year", "window_index", "label"), {"ndvi_score": (base, "s"), "dist_score": (dist, "s"), "gru_score": (gru, "s")}, year=SCORED)
 
 
@@ -449,13 +540,13 @@ def union_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("early", F.year("o_orderdate") < 1997).unionByName(part("late", F.year("o_orderdate") >= 1997)).unionByName(rest)
 
 
-@query("""with planned as (select o_orderkey, 'PENDING' as status, '' as task_id from orders), old as (select o_orderkey, case o_orderstatus when 'F' then 'FAILED' when 'O' then 'SYNCED' else 'RUNNING' end as status, 't' || o_custkey as task_id from orders where o_orderkey % 3 <> 0)
+@query("""with planned as (select o_orderkey, 'PENDING' as status, '' as task_id from orders), old as (select o_orderkey, case o_orderstatus when 'F' then 'FAILED' when 'O' then 'SYNCED' else 'RUNNING' end as status, 't' || o_custkey as task_id from orders where year(o_orderdate) < 2000)
 select p.o_orderkey, case when o.status is null or o.status = 'FAILED' then 'PENDING' else o.status end as status, case when o.status is null or o.status = 'FAILED' then '' else o.task_id end as task_id from planned p left join old o using (o_orderkey)""")
 def ledger_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     planned = o.select("o_orderkey", F.lit("PENDING").alias("status"), F.lit("").alias("task_id"))
     status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "SYNCED").otherwise("RUNNING")
-    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", status.alias("status"), F.concat(F.lit("t"), "o_custkey").alias("task_id"))
+    old = o.where(F.year("o_orderdate") < 2000).select("o_orderkey", status.alias("status"), F.concat(F.lit("t"), "o_custkey").alias("task_id"))
     return W.merge(planned, old, ["o_orderkey"])
 
 
@@ -562,12 +653,16 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = _sequences(spark, sf_dir)
-    net = Q.fit_gru(seq.where("tile_id % 8 < 7"), watched=seq.where("tile_id % 8 = 7"), max_sequences=500, hidden=16, epochs=5)
+    fold = F.pmod(F.xxhash64("tile_id", "year"), F.lit(8))  # one of eight sequences chooses the epoch
+    net = Q.fit_gru(seq.where(fold > 0), watched=seq.where(fold == 0))
     return rounded(Q.score_gru(seq, net), "p_stressed")
 
 
 @query()
 def encoder_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chips are the embeddings' first 16 numbers, by a stand-in encoder."""
-    v = vectors(spark, sf_dir).select(F.expr("vec_id div 4").alias("chip_id"), F.slice("embedding", 1, 16).cast("array<double>").alias("pixels"), F.array(F.lit(0.5), F.lit(1.0)).alias("meta"))
+    """Chips are whole embeddings, by a stand-in encoder."""
+    v = vectors(spark, sf_dir).select(F.expr("vec_id div 4").alias("chip_id"), F.col("embedding").cast("array<double>").alias("pixels"), F.array(F.lit(0.5), F.lit(1.0)).alias("meta"))
     return E.pool_quadrants(E.embed(v, E.RandomProjection(32)), ["chip_id"])
+
+
+from . import round_trips  # noqa: E402, F401 - registers its queries, which build on those above

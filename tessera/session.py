@@ -36,10 +36,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is listed, and ``cleanup`` removes it."""
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; ``cleanup`` removes it unless it is to be kept."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return path
 
 

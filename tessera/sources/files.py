@@ -44,11 +44,15 @@ def write_files(files: DataFrame, path: str, end: str = ZERO) -> int:
 
 
 def put_text(spark, path: str, text: str) -> None:
+    put_bytes(spark, path, text.encode())
+
+
+def put_bytes(spark, path: str, data: bytes) -> None:
     """Writes one small file from the driver."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
