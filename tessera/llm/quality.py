@@ -1,8 +1,10 @@
 """Quality rules by host.
 
-Each document is measured once; the failures are added up by host, the host's failure rate is
-shrunk towards the whole with a beta prior fitted to the hosts themselves (method of moments), and
-hosts whose shrunk rate is too high lose all their documents.
+Each document is measured once; the failures are added up by host, and the host's failure rate is
+shrunk with a beta prior fitted to the hosts (method of moments, each host one observation, so that
+the verdict on a host does not depend on how large the corpus is). The verdict goes back to the
+documents: a host with a high rate loses all of them; one with a low rate vouches for its documents,
+which then need only pass the base rules; of the others those that fail any rule go.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, small, written
 from .textops import NOT_SPACE, byte_set, chunks, grams, within, words
@@ -32,6 +35,7 @@ class Rules:
     max_symbol_percent: int = 50  # ... it has more symbols for each hundred words
     max_word_chars: int = 20  # ... its words are longer on average
     max_host_rate: float = 0.8  # hosts with a higher shrunk failure rate are rejected
+    vouch_rate: float = 0.1  # hosts with at most this shrunk rate vouch for their documents
 
 
 def _duplicate_lines(text: str) -> int:
@@ -84,24 +88,24 @@ def any_failed(m, rules: Rules):
     return base_failed(m, rules) | (100 * m["n_symbols"] > rules.max_symbol_percent * m["n_words"]) | (m["word_chars"] > rules.max_word_chars * m["n_words"])
 
 
-def host_verdicts(measured: DataFrame, max_rate: float) -> DataFrame:
-    """From rows of (host, failed): a row for each host with its counts, its shrunk rate and
-    whether it is rejected. Failures are summed before the shuffle, so a hot host costs nothing.
+def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
+    """From rows of (host, failed): a row for each host with its counts, its shrunk rate, and whether
+    it is rejected or vouches for its documents. Failures are summed before the shuffle, so a hot host
+    costs nothing.
 
-    The prior beta(a, b) has the hosts' pooled mean m; a + b follows from how much the host rates
-    vary beyond what chance alone gives. Hosts that don't vary get the strongest prior (a + b =
-    10000); one host alone, too.
+    The prior beta(a, b) has the mean m of the hosts' rates; a + b follows from how much the rates vary
+    beyond what chance alone gives. Hosts that don't vary get the strongest prior (a + b = 10000); one
+    host alone, too. A null host is a host; no rows give no hosts.
     """
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
     p = F.col("f") / F.col("n")
-    moments = hosts.agg(F.sum("n").cast("double").alias("n_all"), F.sum("f").cast("double").alias("f_all"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(p * F.col("f")).alias("pf"), F.sum(F.lit(1.0)).alias("_one"))
-    mean = F.col("f_all") / F.col("n_all")
-    spread = F.greatest(F.lit(0.0), F.col("pf") / F.col("n_all") - mean * mean)  # variance of host rates, by documents
-    noise = mean * (1 - mean) * F.col("k") / F.col("n_all")  # what chance alone gives
-    size = F.when(spread - noise > mean * (1 - mean) / 10001, mean * (1 - mean) / (spread - noise) - 1).otherwise(F.lit(10000.0))
-    prior = moments.select(mean.alias("m"), F.greatest(F.lit(0.0), size).alias("s"))
+    moments = hosts.agg(F.avg(p).alias("m"), F.coalesce(F.var_samp(p), F.lit(0.0)).alias("spread"), F.avg(1 / F.col("n")).alias("chance"))
+    own = F.col("m") * (1 - F.col("m"))
+    between = F.col("spread") - own * F.col("chance")
+    size = F.when(between > own / 10001, own / between - 1).otherwise(F.lit(10000.0))
+    prior = moments.select("m", F.greatest(F.lit(0.0), size).alias("s"))
     shrunk = (F.col("f") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "f", shrunk.alias("rate"), (shrunk > max_rate).alias("rejected"))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "f", shrunk.alias("rate"), (shrunk > rules.max_host_rate).alias("rejected"), (shrunk <= rules.vouch_rate).alias("vouches"))  # one row
 
 
 def _measured_rows(rules: Rules, schema: pa.Schema):
@@ -124,17 +128,26 @@ def host_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{host_col}`").cast("string").alias("host"))
     schema = pa.schema([("id", pa.int64()), ("host", pa.string()), *((m, pa.int64()) for m in MEASURES), ("base_failed", pa.bool_()), ("failed", pa.bool_())])
     measured = written(picked.mapInArrow(_measured_rows(rules, schema), "id long, host string, " + "".join(f"{m} long, " for m in MEASURES) + "base_failed boolean, failed boolean"), "quality")
-    hosts = written(host_verdicts(measured, rules.max_host_rate), "quality-hosts").withColumnRenamed("host", "_host")
+    hosts = written(host_verdicts(measured, rules), "quality-hosts").withColumnRenamed("host", "_host")
+    kept = ~F.col("base_failed") & ~F.col("rejected") & (F.col("vouches") | ~F.col("failed"))
     return measured.join(small(hosts), F.col("host").eqNullSafe(F.col("_host")), "left").select(
-        F.col("id").alias(id_col), *MEASURES, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"), "failed", "host", F.col("rate").alias("host_rate")
+        F.col("id").alias(id_col), *MEASURES, "base_failed", kept.alias("kept"), "failed", "host", F.col("rate").alias("host_rate")
     )
 
 
 def keep_good_hosts(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that ``host_quality`` keeps, with their columns. The texts are not
-    shuffled: a first pass sums failures by host, a second measures again and filters in place."""
+    shuffled: a first pass sums failures by host, a second measures again and filters in place.
+
+    Defined cases: as in ``host_quality``; null and empty texts go; a row with a null id is judged like
+    any other; rows that repeat stay or go together; an empty table stays empty; columns may have any
+    names.
+    """
     host = F.col(f"`{host_col}`").cast("string")
     schema = pa.schema([("host", pa.string()), ("failed", pa.bool_())])
+    flag = "_failed"
+    while flag in docs.columns:
+        flag += "_"
 
     def failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,8 +155,11 @@ def keep_good_hosts(docs: DataFrame, *, text_col: str = "text", host_col: str =
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(~base_failed(measure(column(b, text_col), rules.window), rules)))
+            m = measure(column(b, text_col), rules.window)
+            yield b.append_column(flag, pa.array(any_failed(m, rules))).filter(pa.array(~base_failed(m, rules)))
 
     failed = docs.select(host.alias("host"), F.col(f"`{text_col}`").alias("text")).mapInArrow(failures, "host string, failed boolean")
-    bad = written(host_verdicts(failed, rules.max_host_rate).where("rejected").select(F.col("host").alias("_host")), "quality-bad")
-    return docs.mapInArrow(good, docs.schema).join(small(bad), host.eqNullSafe(F.col("_host")), "left_anti")
+    strict = host_verdicts(failed, rules).where("rejected or not vouches").select(F.col("host").alias("_host"), F.col("rejected").alias("_rejected"))
+    strict = written(strict, "quality-hosts")
+    left = docs.mapInArrow(good, T.StructType([*docs.schema, T.StructField(flag, T.BooleanType())]))
+    return left.join(small(strict), host.eqNullSafe(F.col("_host")) & (F.col("_rejected") | F.col(flag)), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

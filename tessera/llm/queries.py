@@ -121,11 +121,10 @@ m as (select d.doc_id, source, cast(len(w) as bigint) as n_words, cast(length(re
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
 x as (select *, base_failed or 100 * n_symbols > 50 * n_words or word_chars > 20 * n_words as failed from b),
 h as (select source, count(*) as n, count(*) filter (where failed) as f from x group by source),
-a as (select cast(sum(n) as double) as n, cast(sum(f) as double) as f, cast(count(*) as double) as k, sum(f / n * f) as pf from h),
-q as (select f / n as m, greatest(0.0, pf / n - (f / n) * (f / n)) as spread, (f / n) * (1 - f / n) * k / n as noise from a),
-z as (select m, greatest(0.0, case when spread - noise > m * (1 - m) / 10001 then m * (1 - m) / (spread - noise) - 1 else 10000.0 end) as s from q),
-v as (select source, (f + m * s) / (n + s) > 0.8 as rejected from h, z)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept
+a as (select avg(f / n) as m, coalesce(var_samp(f / n), 0.0) as spread, avg(1.0 / n) as chance from h),
+z as (select m, greatest(0.0, case when spread - m * (1 - m) * chance > m * (1 - m) / 10001 then m * (1 - m) / (spread - m * (1 - m) * chance) - 1 else 10000.0 end) as s from a),
+v as (select source, (f + m * s) / (n + s) > 0.8 as rejected, (f + m * s) / (n + s) <= 0.1 as vouches from h, z)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected and (vouches or not failed) as kept
 from x join v on x.source is not distinct from v.source
 """,
 }

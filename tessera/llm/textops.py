@@ -12,10 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 18
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+LONG_WORD = 256  # bytes; longer words are hashed one by one
+_START = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -44,27 +45,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown when a longer text comes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                up, down = np.full(n, _ODD), np.full(n, _ODD_INVERSE)
-                up[0] = down[0] = 1
-                up, down = np.cumprod(up), np.cumprod(down)
-            if n > 16 * CHUNK_BYTES:  # a giant text's powers are not kept
-                return up, down
-            self.up, self.down = up, down
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
 @dataclass
 class Words:
     """Words of a chunk of documents. first[d]:first[d + 1] are the words of document d."""
@@ -114,12 +94,32 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, f
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers.to(n + 1)
+    return Words(data, start, end, np.searchsorted(offsets, start, "right") - 1, np.searchsorted(start, offsets), word_hashes(data, start, end))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes and length: eight bytes at a time are put in and mixed, so
+    that it is not linear in them, as a polynomial would be (which has equal values for some pairs of
+    words whatever its base). Words of eight bytes or fewer and of one length never collide; very long
+    ones, of which a step for each eight bytes would be slow, are hashed by XXH3."""
+    size = end - start
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        code = mix((sums[end] - sums[start]) * down[start])
-    return Words(data, start, end, np.searchsorted(offsets, start, "right") - 1, np.searchsorted(start, offsets), code)
+        code = mix(size.astype(np.uint64) * _START + _START)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+        at = np.flatnonzero(size <= LONG_WORD)
+        step = 0
+        while len(at):
+            left = size[at] - step
+            lane = lanes[start[at] + step]
+            short = left < 8
+            lane[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            code[at] = mix(code[at] ^ lane)
+            step += 8
+            at = at[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        code[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), int(_START) & 0xFFFFFFFF)
+    return code
 
 
 def grams(code: np.ndarray, k: int) -> np.ndarray:

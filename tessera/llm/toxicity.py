@@ -1,8 +1,8 @@
 """Toxicity with subword-bag embeddings averaged into a linear softmax, trained in numpy.
 
 A word is the bag of its byte n-grams and itself, hashed into a table of vectors; a passage is the
-mean of its words; a linear softmax over two labels scores it, and a document's logit is that of
-its worst passages. Vectors and softmax are trained jointly. Misspelt or inflected words share
+mean of its two words; a linear softmax over two labels scores it, and a document's logit is a soft
+maximum over its passages. Vectors and softmax are trained jointly. Misspelt or inflected words share
 n-grams with those seen, and so their vectors.
 
 As the model is linear behind the vectors, a bag's logit is the mean of its n-grams' logits: one
@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from .common import column, held_out
 from .textops import ALNUM_LOWER, Words, chunks, mix, words
 
-BUCKETS, NGRAMS, DIM, PASSAGE = 1 << 18, (3, 4, 5), 8, 16
+BUCKETS, NGRAMS, DIM, PASSAGE = 1 << 18, (3, 4, 5), 8, 2
 THRESHOLD = 0.3
-MIN_DOCS = 3  # of the sample, for a word to be trained on
-SHARPNESS = 2.0  # of the mean over a document's passages: 0 is the plain mean, infinity the maximum
+SHARPNESS = 1.0  # of the mean over a document's passages: 0 is the plain mean, infinity the maximum
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,11 +78,12 @@ def document_logits(score: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarr
     return np.bincount(of, weight * score, n), weight
 
 
-def train(texts: list[str], target: np.ndarray, *, epochs: int = 200, rate: float = 0.35, seed: int = 3) -> Model:
-    """Gradient descent with momentum on the mean log loss (both labels weighted alike). A step's
-    length is set by ``rate``, which falls to 0, and the gradient's greatest entry."""
+def train(texts: list[str], target: np.ndarray, *, epochs: int = 60, rate: float = 4.0, seed: int = 3, patience: int = 10) -> Model:
+    """Gradient descent on the mean log loss of a softmax over two columns (both labels weighted
+    alike), each bucket's steps scaled by its own gradients so far (Adagrad). Only the buckets that the
+    sample has are trained; others score 0. Stops early where the loss has not fallen by a thousandth
+    in ``patience`` epochs."""
     r = np.random.default_rng(seed)
-    vectors, head, bias = r.normal(0, 0.05, (BUCKETS, DIM)), np.ones(DIM) / np.sqrt(DIM), -2.0
     # Each distinct word of the sample has its subwords once.
     buckets, owners, tokens, docs, known, n_words, at = [], [], [], [], np.zeros(0, np.uint64), 0, 0
     for lo, hi, data, offsets in chunks(pa.array(texts, pa.string())):
@@ -91,20 +91,16 @@ def train(texts: list[str], target: np.ndarray, *, epochs: int = 200, rate: floa
         own, first = np.unique(w.hash, return_index=True)
         new = ~np.isin(own, known, assume_unique=True)
         b, o = subwords(w, first[new])
-        buckets.append(b), owners.append(o + n_words), tokens.append(w.hash), docs.append(w.doc + at)
+        buckets.append(b), owners.append((o + n_words).astype(np.int32)), tokens.append(w.hash), docs.append((w.doc + at).astype(np.int32))
         known = np.concatenate([known, own[new]])
         n_words += int(new.sum())
         at += hi - lo
     bucket, owner, doc = (np.concatenate(x) for x in (buckets, owners, docs))
     order = np.argsort(known)
-    code = order[np.searchsorted(known, np.concatenate(tokens), sorter=order)]
+    code = order[np.searchsorted(known, np.concatenate(tokens), sorter=order)].astype(np.int32)
     del buckets, owners, tokens, docs, known, order
-    # A word of one or two documents says nothing of the label that would hold elsewhere.
-    pairs = np.unique(code.astype(np.int64) * (at + 1) + doc)
-    seen_in = np.bincount(pairs // (at + 1), minlength=n_words)
-    use = seen_in[code] >= min(MIN_DOCS, 1 + at // 100)
-    code, doc = code[use], doc[use]
-    del pairs, use
+    rows, place = np.unique(bucket, return_inverse=True)  # the buckets there are
+    vectors, head, bias = r.normal(0, 0.05, (len(rows), DIM)), np.outer(np.ones(DIM), [-0.5, 0.5]) / np.sqrt(DIM), np.array([1.0, -1.0])
     per_word = np.maximum(1, np.bincount(owner, minlength=n_words))
     n = len(texts)
     start = np.searchsorted(doc, np.arange(n + 1))
@@ -112,23 +108,31 @@ def train(texts: list[str], target: np.ndarray, *, epochs: int = 200, rate: floa
     per_passage = np.bincount(passage)
     y = target.astype(float)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    dv, dh, db = 0.0, 0.0, 0.0
-    for k in range(epochs):
-        each = vectors @ head
-        word = np.bincount(owner, each[bucket], n_words) / per_word
-        score = np.bincount(passage, word[code]) / per_passage + bias
+    seen, seen_bias, best, since = np.full(len(rows), 1e-8), 1e-8, np.inf, 0
+    for _ in range(epochs):
+        turn = head[:, 1] - head[:, 0]  # the softmax's log odds are linear in the mean vector
+        word = np.bincount(owner, (vectors @ turn)[place], n_words) / per_word
+        score = np.bincount(passage, word[code]) / per_passage + (bias[1] - bias[0])
         z, weight = document_logits(score, of, n)
-        z[np.diff(start) == 0] = bias
-        g = share * (1 / (1 + np.exp(-z)) - y)
-        g_passage = g[of] * weight
-        g_word = np.bincount(code, (g_passage / per_passage)[passage], n_words) / per_word
-        g_each = np.bincount(bucket, g_word[owner], BUCKETS)
-        now = rate * (1 - k / epochs) / max(1e-12, np.abs(g_each).max())
-        dv = 0.9 * dv - now * np.outer(g_each, head)
-        dh = 0.9 * dh - 1e-4 * now * (g_each @ vectors)
-        db = 0.9 * db - 0.1 * (1 - k / epochs) * g.sum()
-        vectors, head, bias = vectors + dv, head + dh, bias + db
-    return Model((vectors @ head).astype(np.float32), float(bias))
+        z[np.diff(start) == 0] = bias[1] - bias[0]
+        p = 1 / (1 + np.exp(-z))
+        loss = -(share * np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-12, None))).sum()
+        since = 0 if loss < best * 0.999 else since + 1
+        best = min(best, loss)
+        if since >= patience:
+            break
+        g = share * (p - y)  # by the toxic column's logit; the other's is its negative
+        g_word = np.bincount(code, ((g[of] * weight) / per_passage)[passage], n_words) / per_word
+        g_row = np.bincount(place, g_word[owner], len(rows))
+        g_head = g_row @ vectors
+        seen += g_row**2
+        seen_bias += g.sum() ** 2
+        vectors -= (rate * g_row / np.sqrt(seen))[:, None] * turn / (turn @ turn)
+        head += 1e-3 * np.outer(g_head / max(1e-12, np.abs(g_head).max()), [1.0, -1.0])
+        bias -= 0.05 * g.sum() / np.sqrt(seen_bias) * np.array([-1.0, 1.0])
+    logit = np.zeros(BUCKETS, np.float32)
+    logit[rows] = vectors @ (head[:, 1] - head[:, 0])
+    return Model(logit, float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_other: int = 4000, max_chars: int = 20_000, **how) -> Model:

@@ -52,18 +52,16 @@ def test_odd_rows_pass_every_stage(spark, make):
 
 def good_hosts(rows):
     """Rows are (id, text, lang, source) here and below."""
-    base, host = {}, defaultdict(lambda: [0, 0])
+    base, fails, host = {}, {}, defaultdict(lambda: [0, 0])
     for i, t, _, s in rows:
         n, chars, symbols, _, repeat = test_quality.measures(t)
         base[i] = n < 50 or 100 * repeat > 50 * n
+        fails[i] = base[i] or 100 * symbols > 50 * n or chars > 20 * n
         host[s][0] += 1
-        host[s][1] += base[i] or 100 * symbols > 50 * n or chars > 20 * n
-    n, f = (sum(x[k] for x in host.values()) for k in (0, 1))
-    m = f / n
-    extra = sum(x[1] ** 2 / x[0] for x in host.values()) / n - m * m - m * (1 - m) * len(host) / n
-    s = max(0.0, m * (1 - m) / extra - 1) if extra > m * (1 - m) / 10001 else 10000.0
-    bad = {h for h, (k, x) in host.items() if (x + m * s) / (k + s) > 0.8}
-    return [r for r in rows if not base[r[0]] and r[3] not in bad]
+        host[s][1] += fails[i]
+    m, s = test_quality.moments(host)
+    rate = {h: (f + m * s) / (n + s) for h, (n, f) in host.items()}
+    return [r for r in rows if not base[r[0]] and rate[r[3]] <= 0.8 and (rate[r[3]] <= 0.1 or not fails[r[0]])]
 
 
 def rare_lines(rows):
