@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 #: A table may be broadcast if it has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 #: ASCII white space as the contracts name it: the space and 0x09 to 0x0D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -23,18 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests on one machine) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,10 +45,12 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast if its row count is within ``limit``; otherwise the
-    join that uses it shuffles, and adaptive execution splits what is skewed."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if it is within ``limit`` rows and its files within
+    ``max_bytes``, so wide rows (long host names) count, too; otherwise the join that uses it shuffles,
+    and adaptive execution splits what is skewed."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= max_bytes and df.count() <= limit else df
 
 
 def lower_ascii(c: Column) -> Column:

@@ -20,6 +20,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smaller ones, to the smallest node it sees. Smallest neighbours are found by an aggregation
     that is combined before the shuffle and joined back, so a hub's edges are never in one task
     (adaptive execution splits its side of the join). Every round is written to the shared folder.
+
+    Defined cases: repeated edges and edges in both directions count once; an edge from a node to itself
+    or with a null end is none; no edges give no rows.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct(), "edges")
     before = _signature(edges)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,43 +22,76 @@ from .common import column, small, written
 from .textops import ALNUM_LOWER, chunks, grams, within, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32_000_000
+# Of items that go to the tasks at a time: about 150 MB of arrays.
+BLOCK_ITEMS, BLOCK_CHARS = 1_000_000, 32_000_000
 PAIRS = 256  # alignments at a time
 
 
+@dataclass
+class Seeds:
+    """N-grams of one length, sorted, and where the items have them: ``key[i]`` is at the places
+    ``start[i]:start[i + 1]`` of ``item`` and ``at``."""
+
+    key: np.ndarray
+    start: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, gram: np.ndarray, item: np.ndarray, at: np.ndarray) -> Seeds:
+        order = np.lexsort((at, item, gram))
+        key, start = np.unique(gram[order], return_index=True)
+        return cls(key, np.append(start, len(order)), item[order].astype(np.int32), at[order].astype(np.int32))
+
+    def gram(self) -> np.ndarray:
+        return np.repeat(self.key, np.diff(self.start))
+
+
 class Items:
-    """A block of items: their words' hashes, and the n-grams that may serve as seeds."""
+    """A block of items as arrays: their words' hashes, and the n-grams that may serve as seeds."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int) -> None:
-        self.ids, self.code = ids, []
+        self.ids, codes = ids, [np.zeros(0, np.uint64)]
         for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
             w = words(data, offsets, ALNUM_LOWER, fold=True)
-            self.code += [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(offsets) - 1)]
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item, code in enumerate(self.code):
-            k = min(n, len(code))
-            for at, g in enumerate(grams(code, k).tolist() if k else []):
-                self.seeds[k][g].append((item, at))
+            codes += [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(offsets) - 1)]
+        size = np.array([len(c) for c in codes[1:]], np.int64)
+        self.words, self.first = np.concatenate(codes), np.append(0, np.cumsum(size))
+        owner, nth = np.repeat(np.arange(len(size)), size), np.arange(len(self.words)) - np.repeat(self.first[:-1], size)
+        self.seeds: dict[int, Seeds] = {}
+        for k in range(1, n + 1):  # shorter items are their own seeds
+            here = np.flatnonzero(within(owner, k) & ((size[owner[: len(owner) - k + 1]] == k) | (k == n))) if len(owner) >= k else []
+            if len(here):
+                self.seeds[k] = Seeds.of(grams(self.words, k)[here], owner[here], nth[here])
+
+    def code(self, item: int) -> np.ndarray:
+        return self.words[self.first[item] : self.first[item + 1]]
 
     def keys(self) -> dict[int, np.ndarray]:
-        return {k: np.array(sorted(x), np.uint64) for k, x in self.seeds.items()}
+        return {k: x.key for k, x in self.seeds.items()}
 
-    def keep_rare(self, frequency: dict[tuple[int, int], int], share: float, run: int) -> None:
+    def keep_rare(self, frequency: dict[int, np.ndarray], share: float, run: int) -> None:
         """Keeps the rarest share of each item's seeds (at least one), and the rarest of any ``run``
-        of its words, so that no such run is without one; ties by hash."""
-        own: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        for k, x in self.seeds.items():
-            for g, places in x.items():
-                for item, _ in places:
-                    own[item].add((frequency.get((k, g), 0), g, k))
-        stay = {(item, k, g) for item, x in own.items() for _, g, k in sorted(x)[: max(1, math.ceil(share * len(x)))]}
-        for item, code in enumerate(self.code):
-            for k in {k for _, _, k in own[item]} if len(code) > run else ():
-                g = grams(code, k).tolist()
-                order = [(frequency.get((k, x), 0), x) for x in g]
-                stay |= {(item, k, min(order[at : at + max(1, run - k + 1)])[1]) for at in range(max(1, len(code) - run + 1))}
+        of its words, so that no such run is without one; ties by hash. frequency: by length, of each
+        key."""
         for k, x in self.seeds.items():
-            self.seeds[k] = {g: p for g, places in x.items() if (p := [(i, at) for i, at in places if (i, k, g) in stay])}
+            rank = np.empty(len(x.key), np.int64)  # of the keys, rarest first
+            rank[np.lexsort((x.key, frequency[k]))] = np.arange(len(x.key))
+            own = np.repeat(rank, np.diff(x.start))
+            order = np.lexsort((x.at, x.item))  # by item, in the order of its words
+            edge = np.flatnonzero(np.diff(x.item[order], prepend=-1, append=-1))
+            stay = np.zeros(len(own), bool)
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                mine = own[order[lo:hi]]
+                distinct = np.unique(mine)
+                kept = distinct[: max(1, math.ceil(share * len(distinct)))]
+                width = max(1, run - k + 1)
+                if len(mine) > width:
+                    kept = np.union1d(kept, np.lib.stride_tricks.sliding_window_view(mine, width).min(axis=1))
+                else:
+                    kept = np.union1d(kept, mine.min())
+                stay[order[lo:hi]] = np.isin(mine, kept)
+            self.seeds[k] = Seeds.of(x.gram()[stay], x.item[stay], x.at[stay])
 
 
 def seed_hits(w, keys: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -106,7 +140,7 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
 def _aligned(found: dict[tuple[int, int], list[tuple[int, int]]], w, items: Items, min_score: float, min_run: int) -> Iterator[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, last word) of the best copy of each pair in ``found``;
     found: stretches [start, end) of words for each (document, item)."""
-    work = sorted(((d, i, s, e) for (d, i), x in found.items() for s, e in x), key=lambda x: (len(items.code[x[1]]), x[3] - x[2]))
+    work = sorted(((d, i, s, e) for (d, i), x in found.items() for s, e in x), key=lambda x: (len(items.code(x[1])), x[3] - x[2]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     lo = 0
     while lo < len(work):
@@ -115,7 +149,7 @@ def _aligned(found: dict[tuple[int, int], list[tuple[int, int]]], w, items: Item
         while hi < min(lo + PAIRS, len(work)) and (hi - lo + 1) * (work[hi][3] - work[hi][2]) <= 200_000:
             hi += 1
         part, lo = work[lo:hi], hi
-        a, b = [items.code[x[1]] for x in part], [w.hash[x[2] : x[3]] for x in part]
+        a, b = [items.code(x[1]) for x in part], [w.hash[x[2] : x[3]] for x in part]
         # no more words can match than the item has in the stretch
         able = [int(np.isin(x, y).sum()) >= min(min_score * len(x) - 1e-9, min_run) for x, y in zip(a, b)]
         part, a, b = ([x for x, ok in zip(z, able) if ok] for z in (part, a, b))
@@ -143,8 +177,10 @@ def stretches(w, items: Items, keys: dict[int, np.ndarray]) -> dict[tuple[int, i
     for k, hit, at in seed_hits(w, keys):
         for x, s in zip(hit.tolist(), at.tolist()):
             d = int(w.doc[x])
-            for item, o in items.seeds[k][int(keys[k][s])]:
-                n = len(items.code[item])
+            seeds = items.seeds[k]
+            places = slice(int(seeds.start[s]), int(seeds.start[s + 1]))
+            for item, o in zip(seeds.item[places].tolist(), seeds.at[places].tolist()):
+                n = int(items.first[item + 1] - items.first[item])
                 spans[d, item].append((max(int(w.first[d]), x - o - n // 2), min(int(w.first[d + 1]), x - o + n + n // 2 + 1)))
     out = {}
     for pair, x in spans.items():
@@ -175,11 +211,14 @@ def _overlaps_of_block(picked: DataFrame, items: Items, min_score: float, share:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some])], schema=counted)
 
-    # One number for each n-gram of the block's items: bounded by the block.
-    rows = picked.select("text").mapInArrow(count, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    items.keep_rare({(r["k"], int(keys[r["k"]][r["i"]])): r["n"] for r in rows}, share, min_run)
-    rare, seeds = items.keys(), {k: dict(x) for k, x in items.seeds.items()}
-    items.seeds = seeds
+    # One number for each n-gram of the block's items, as arrays: bounded by the block.
+    got = picked.select("text").mapInArrow(count, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toArrow()
+    of, at, n = (got.column(c).to_numpy() for c in ("k", "i", "n"))
+    frequency = {k: np.zeros(len(key), np.int64) for k, key in keys.items()}
+    for k in frequency:
+        frequency[k][at[of == k]] = n[of == k]
+    items.keep_rare(frequency, share, min_run)
+    rare = items.keys()
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, held_out
@@ -112,23 +112,28 @@ def train(windows: np.ndarray, target: np.ndarray, labels: list[str], *, epochs:
     return net
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, windows_each: int = 4, max_labels: int = 200, **how) -> Network | None:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, windows_each: int = 4, max_labels: int = 10_000, **how) -> Network | None:
     """Trains on a bounded sample of the labelled documents outside the held-out fold: about
-    ``max_docs`` documents, dealt evenly among the languages (the ``max_labels`` most frequent),
-    chosen by a hash of their ids, and of each ``windows_each`` windows spread over its text.
-    Returns None if there is no labelled document."""
+    ``max_docs`` documents, dealt evenly among all languages (one each at least), chosen by a hash of
+    their ids, and of each ``windows_each`` windows spread over its text. Every language is learnt:
+    more than ``max_labels`` are refused, as they are no languages. Returns None if there is no
+    labelled document."""
     usable = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    if not counts:
+    counts = usable.groupBy("lang").count()
+    n_labels = counts.limit(max_labels + 1).count()
+    if n_labels > max_labels:
+        raise ValueError(f"more than {max_labels} languages")
+    if not n_labels:
         return None
-    each = max(1, max_docs // len(counts))
+    each = max(1, max_docs // n_labels)
     n, chance = F.length("text"), F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.lit(0.0)
-    for r in counts:
-        wanted = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(wanted)
+    rare = F.col("count") <= 8 * each  # of few documents those of least chance, so that none is without
+    rates = counts.select(F.col("lang").alias("_lang"), F.when(rare, 1.0).otherwise(2 * each / F.col("count")).alias("rate"))
     starts = [F.floor(F.greatest(n - WINDOW, F.lit(0)) * (k / max(1, windows_each - 1))).cast("int") + 1 for k in range(windows_each)]
     cuts = F.array_distinct(F.array(*(F.substring(F.col("text"), s, F.lit(WINDOW)) for s in starts)))
-    rows = usable.where(chance < wanted).select("id", "lang", cuts.alias("cuts")).limit(2 * max_docs + len(counts)).collect()
+    picked = usable.withColumn("chance", chance).join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where("chance < rate")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "id", "text"))  # at most some times ``each`` a language
+    rows = picked.withColumn("rank", rank).where(F.col("rank") <= each).select("id", "lang", cuts.alias("cuts")).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["lang"], r["cuts"]))
     labels = sorted({r["lang"] for r in rows})
     if not labels:

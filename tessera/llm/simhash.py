@@ -8,8 +8,12 @@ to any pivot differ by more than the radius cannot be linked (triangle inequalit
 discarded; the rest is verified. Large cells yield a spanning forest, never all their pairs.
 
 Where the radius is too wide for that (25 of 128 bits leave no choice of blocks that selects
-anything), each fingerprint is compared with each: they are dealt into groups by a hash, and each
-pair of groups is a cell, whose pairs are all compared.
+anything), fingerprints meet by their texts instead: the least hashes of a text's shingles are its
+keys, and those that share a key are a cell, in which the pivot tables do the same. Of two texts with a
+Jaccard similarity of 0.8, each of the 16 least hashes of both together is in both with a chance of
+0.8, so they miss each other with one of 0.2 ** 16. Keys that very many fingerprints have (those of a
+widespread passage) make no cell; fingerprints that have many such keys are compared each with each,
+dealt into groups by a hash, of which each pair is a cell.
 """
 
 from __future__ import annotations
@@ -29,43 +33,64 @@ from .components import components
 PIVOTS = 16
 CELL_LIMIT = 4096  # larger cells are compared block by block, in tasks of their own
 PAIRWISE = 8  # up to this many members, a cell's links are all emitted
+KEYS = 16  # least shingle hashes by which fingerprints meet
 GROUPS = 24  # of fingerprints that are compared each with each; every one is sent this many times
 TILE = 16  # fingerprints compared with a whole group at once
 
 
-def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...]) -> list[int]:
-    """A 64-bit fingerprint for each seed: bit i is 1 if it is set in over half the hashes of the
-    shingles (repeats included); fewer words than a shingle: the whole sequence; none: 0."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in parts; fewer words than a shingle: of the
+    whole sequence; no words: none."""
     w = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not w:
-        return [0] * len(seeds)
+        return
     size = np.fromiter(map(len, w), np.int64, len(w)) + 1
     joined, k = b" ".join(w), min(shingle, len(w))
     end = np.cumsum(size)
-    begin, stop = (end - size)[: len(w) - k + 1].tolist(), (end - 1)[k - 1 :].tolist()
-    out = []
-    for seed in seeds:
-        digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-        for lo in range(0, len(begin), 65536):
-            part = begin[lo : lo + 65536]
-            h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(part, stop[lo : lo + 65536])), np.uint64, len(part))
+    begin, stop, digest = (end - size)[: len(w) - k + 1].tolist(), (end - 1)[k - 1 :].tolist(), xxhash.xxh64_intdigest
+    for lo in range(0, len(begin), 65536):
+        part = begin[lo : lo + 65536]
+        yield np.fromiter((digest(joined[s:e], seed) for s, e in zip(part, stop[lo : lo + 65536])), np.uint64, len(part))
+
+
+def least(h: np.ndarray, n: int) -> np.ndarray:
+    """The n least distinct values."""
+    if len(h) > 8 * n:
+        some = np.unique(np.partition(h, 4 * n)[: 4 * n])
+        if len(some) >= n:
+            return some[:n]
+    return np.unique(h)[:n]
+
+
+def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...], keys: int = 0) -> tuple[list[int], np.ndarray]:
+    """A 64-bit fingerprint for each seed: bit i is 1 if it is set in over half the hashes of the
+    shingles; no words: 0. And the ``keys`` least distinct hashes by the first seed (no words: 0)."""
+    out, few = [], np.zeros(0, np.uint64)
+    for i, seed in enumerate(seeds):
+        ones, n = np.zeros(64, np.int64), 0
+        for h in shingle_hashes(text, shingle, seed):
             ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out.append(int(np.packbits(2 * ones > len(begin), bitorder="little").view("<u8")[0]))
-    return out
+            n += len(h)
+            if keys and not i:
+                few = least(np.concatenate([few, least(h, keys)]), keys)
+        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0)
+    return out, few if len(few) or not keys else np.zeros(1, np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """Rows (id, f0, f1): the fingerprints of whole texts as longs; f1 is 0 with one seed."""
-    schema = pa.schema([("id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...] = (42,), keys: int = 0) -> DataFrame:
+    """Rows (id, f0, f1, keys): the fingerprints of whole texts as longs, f1 being 0 with one seed, and
+    the keys by which they may meet (none unless asked for)."""
+    schema = pa.schema([("id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fingerprint((t or "").encode(), shingle, seeds) for t in (x.as_py() for x in column(b, "text"))]
-            made = np.array(rows, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            rows = [fingerprint((t or "").encode(), shingle, seeds, keys) for t in (x.as_py() for x in column(b, "text"))]
+            made = np.array([f for f, _ in rows], np.uint64).reshape(-1, len(seeds)).view(np.int64)
             f1 = made[:, 1] if len(seeds) > 1 else np.zeros(len(made), np.int64)
-            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(np.ascontiguousarray(made[:, 0])), pa.array(np.ascontiguousarray(f1))], schema=schema)
+            few = pa.array([k.view(np.int64) for _, k in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(np.ascontiguousarray(made[:, 0])), pa.array(np.ascontiguousarray(f1)), few], schema=schema)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, f0 long, f1 long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, f0 long, f1 long, keys array<long>")
 
 
 def _masks(blocks: int, agree: int) -> list[int]:
@@ -246,30 +271,45 @@ def _block_links(nodes: DataFrame, halves: int, max_bits: int, blocks: int, agre
     return dealt.mapInArrow(_links(max_bits), "a long, b long")
 
 
+def _key_links(prints: DataFrame, name, radius: int, cell_limit: int) -> DataFrame:
+    """Links (a, b) of the fingerprints that share a key and are within the radius."""
+    dealt = written(prints.select("f0", "f1", name.alias("node"), F.size("keys").alias("n"), F.explode("keys").alias("key")).distinct(), "keys")
+    hot = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_limit).select(F.col("key").alias("_key")), "hot")
+    marked = dealt.join(small(hot), F.col("key") == F.col("_key"), "left")
+    cells = marked.where("_key is null").select(F.lit(0).alias("t"), "key", F.lit(0).cast("long").alias("cell"), "f0", "f1", "node")
+    links = cells.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell").mapInArrow(_links(radius), "a long, b long")
+    # Over a quarter of its keys are everybody's: too few others are left to meet by.
+    crowded = written(marked.where("_key is not null").groupBy("f0", "f1", "node").agg(F.count(F.lit(1)).alias("h"), F.max("n").alias("n")).where("4 * h > n").select("f0", "f1", "node"), "crowded")
+    return links.unionByName(_every_pair(crowded, radius))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (42,), max_bits: int = 3, blocks: int = 6, agree: int = 3, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """Returns (id, f0, f1, component), component being the smallest id reachable over links of at
     most ``max_bits`` differing bits (of 64, or of 128 with two seeds).
 
-    All links are found. Where any two fingerprints within ``max_bits`` agree in ``agree`` of
-    ``blocks`` blocks of one of their halves, pairs meet by these; where they need not (two seeds
-    only), every pair of distinct fingerprints is compared, which is quadratic in their number.
+    Where any two fingerprints within ``max_bits`` agree in ``agree`` of ``blocks`` blocks of one of
+    their halves, they meet by these, and all links are found. Where they need not (two seeds only),
+    they meet by the 16 least hashes of their shingles: all links between texts with a Jaccard
+    similarity of 0.8 or more are found but for a chance of 0.2 ** 12 at most, and of the less similar
+    those that share one (at 0.5, all but 1 in 65,000).
 
-    Defined cases: null and empty texts have fingerprint 0 and are linked like any other; a row
-    with a null id gets the component of its fingerprint (null if no row with an id has or
-    reaches it); rows that repeat an id are each returned, and linked by
-    their texts alone; an empty table gives an empty one.
+    Defined cases: null and empty texts have fingerprint 0 and are linked like any other; a row with a
+    null id gets the component of its fingerprint, which links others like any (null if no row with an
+    id has or reaches it); rows that repeat an id are each returned, and linked by their texts alone; an
+    empty table gives an empty one.
     """
     if len(seeds) == 1 and blocks - agree < max_bits:
         raise ValueError("too few blocks: links would be missed")
-    prints = written(fingerprints(docs, id_col, text_col, shingle, seeds), "prints")
+    by_blocks = max_bits // len(seeds) <= blocks - agree
+    prints = written(fingerprints(docs, id_col, text_col, shingle, seeds, 0 if by_blocks else KEYS), "prints")
     # A node is a distinct fingerprint, by its value (of two fingerprints, by a hash of both).
     name = F.col("f0") if len(seeds) == 1 else F.xxhash64("f0", "f1")
-    nodes = written(prints.groupBy("f0", "f1").agg(F.min("id").alias("least")).where("least is not null").withColumn("node", name), "nodes")
-    links = _block_links(nodes, len(seeds), max_bits, blocks, agree, cell_limit) if max_bits // len(seeds) <= blocks - agree else _every_pair(nodes, max_bits)
+    nodes = written(prints.groupBy("f0", "f1").agg(F.min("id").alias("least")).withColumn("node", name), "nodes")
+    links = _block_links(nodes, len(seeds), max_bits, blocks, agree, cell_limit) if by_blocks else _key_links(prints, name, max_bits, cell_limit)
     roots = components(links)
     rooted = written(nodes.join(roots, "node", "left").select("f0", "f1", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    groups = rooted.join(least, "root").select(F.col("f0").alias("_f0"), F.col("f1").alias("_f1"), "component")
+    least_id = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    groups = rooted.join(least_id, "root").select(F.col("f0").alias("_f0"), F.col("f1").alias("_f1"), "component")
     return prints.join(groups, (F.col("f0") == F.col("_f0")) & (F.col("f1") == F.col("_f1")), "left").select(F.col("id").alias(id_col), "f0", "f1", "component")
 
 

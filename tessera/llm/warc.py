@@ -202,13 +202,15 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     packed.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True, strict: bool = True) -> DataFrame:
-    """Returns a row for each record of the archives below ``path``: archive, offset, type,
+def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True, strict: bool = True, glob: str | None = None) -> DataFrame:
+    """Returns a row for each record of the archives below ``path``, whatever they are called (but for
+    names that begin with _ or ., which Spark's commit protocol uses; ``glob`` picks some): archive, offset, type,
     record_id, target_uri, date, refers_to, payload_digest (hex), payload_bytes, payload, error.
 
     A revisit has no payload; its digest and length are those its headers give. With ``strict``
     a record or archive that breaks the format fails the read; otherwise it gives a row with its
-    error, and the archive is read on behind a bad record (not behind a bad frame).
+    error, and the archive is read on behind a bad record (not behind a bad frame). An archive is held
+    whole by its task; one of over two gigabytes is refused by Spark.
     """
     schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), *((x, pa.string()) for x in ("type", "record_id", "target_uri", "date", "refers_to", "payload_digest")), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 
@@ -238,7 +240,9 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True, stri
             for name, content in zip(column(b, "path").to_pylist(), column(b, "content")):
                 yield from record_batches(of(name, content.as_py()), schema, 64 if with_payload else 4096)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, "archive string, offset long, type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string")
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    source = source.option("pathGlobFilter", glob) if glob else source
+    return source.load(path).select("path", "content").mapInArrow(run, "archive string, offset long, type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string")
 
 
 def page_of(name):

@@ -116,3 +116,27 @@ def test_excerpts_are_found(make, spark):
     text = dict(rows)
     for r in got:
         assert " ".join(text[r["doc_id"]].split()[r["first_word"] : r["last_word"] + 1]) in " ".join(dict(bench)[r["item_id"]])
+
+
+@pytest.mark.parametrize("share, least", [(0.10, 1.0), (0.20, 0.97), (0.25, 0.95)])
+def test_recall_of_copies_edited_in_a_share_of_their_words(make, spark, share, least):
+    """Of the copies whose alignment reaches the score, those found; 300 copies of 60 items, a third of
+    the edits each being other words, words put in and words left out."""
+    r = random.Random(int(1000 * share))
+    bench = [(k, [f"w{r.randrange(600)}" for _ in range(r.randrange(20, 70))]) for k in range(60)]
+    rows, reach, planted = [], set(), 0
+    for i in range(300):
+        k, x = bench[i % 60]
+        copy = list(x)
+        for at in sorted(r.sample(range(len(x)), round(share * len(x))), reverse=True):
+            what = r.randrange(3)
+            copy[at : at + (what != 1)] = [] if what == 2 else [f"v{r.randrange(600)}"]
+        w = [f"u{r.randrange(600)}" for _ in range(40)]
+        w[20:20] = copy
+        planted += 1
+        rows.append((i, " ".join(w)))
+        if dp(x, w) >= 1.2 * len(x):
+            reach.add((i, k))
+    got = {(g["doc_id"], g["item_id"]) for g in decontaminate.benchmark_overlaps(make(rows), items(spark, [(k, " ".join(x)) for k, x in bench])).collect()}
+    assert planted == 300 and len(reach) >= 150
+    assert len(got & reach) >= least * len(reach), (len(got & reach), len(reach))

@@ -12,6 +12,31 @@ def low(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+def wrapped(text, templates, threshold):
+    """(label, share) of every run of words over a line end in a paragraph, no longer than the template,
+    that contains it, and none of whose lines does so alone."""
+    lines = [WORD.findall(x) for x in text.split("\n")]
+    for label, template in templates:
+        code = WORD.findall(low(template))
+        s = set(code)
+        enough = lambda have: len(s & have) >= threshold * len(s) - 1e-9
+        alone = [enough(set(x)) for x in lines]
+        at = 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and lines[end]:
+                end += 1
+            words = [(x, k) for k in range(at, end) for x in lines[k]]
+            if enough({x for x, _ in words}):
+                for q in range(len(words)):
+                    have = set()
+                    for x, k in words[q : q + len(code)]:
+                        have.add(x)
+                        if k > words[q][1] and enough(have) and not any(alone[words[q][1] : k + 1]):
+                            yield label, len(s & have) / len(s)
+            at = end + 1
+
+
 def brute(rows, templates=licenses.TEMPLATES, threshold=0.8):
     sets = [(label, set(WORD.findall(low(t)))) for label, t in templates]
     out = []
@@ -31,6 +56,9 @@ def brute(rows, templates=licenses.TEMPLATES, threshold=0.8):
                 if share >= threshold - 1e-9:
                     found.add(label)
                     best = max(best, share)
+        for label, share in wrapped(low(t), templates, threshold):
+            found.add(label)
+            best = max(best, share)
         out.append((i, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if base else best))
     return sorted(out, key=str)
 
@@ -84,3 +112,24 @@ def test_notices_wrapped_over_lines(make):
 def test_empty(make):
     assert licenses.scan_licenses(make([])).count() == 0
     assert licenses.scan_licenses(make([(1, "mit license")]), templates=()).first()["labels"] == "mit"
+
+
+def test_sql_finds_the_same(make):
+    import duckdb
+
+    from tessera.llm import queries
+
+    r = random.Random(9)
+    rows = []
+    for i in range(120):
+        words = r.choice(licenses.TEMPLATES)[1].split()
+        words = [x for x in words if r.random() < 0.93]
+        for _ in range(r.randrange(0, 4)):
+            words.insert(r.randrange(len(words) + 1), r.choice(["\n", "\n", "\n\n", "of", "the"]))
+        rows.append((i, " ".join(r.choice(["a", "free", "\n"]) for _ in range(r.randrange(0, 6))) + " " + " ".join(words)))
+    rows += [(x[0], x[1]) for x in odd_rows() if x[0] != 10]
+    got = licenses.scan_licenses(make(rows)).drop("blocks").collect()
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(map(tuple, got), key=str) == sorted(db.sql(queries.SQL["op10_licenses"]).fetchall(), key=str) == brute(rows)

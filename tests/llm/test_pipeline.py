@@ -70,7 +70,7 @@ def rare_lines(rows):
 
 
 def first_of_groups(rows):
-    """Of 128 bits at most 25 differ, and two of the eight bytes of a half agree."""
+    """Of 128 bits at most 25 differ: every pair is compared, whatever its texts share."""
     print_of = {r[0]: [simhash(r[1], 5, s) for s in (42, 43)] for r in rows}
     root = {i: i for i in print_of}
 
@@ -83,7 +83,7 @@ def first_of_groups(rows):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             diff = [x ^ y for x, y in zip(print_of[a], print_of[b])]
-            if sum(d.bit_count() for d in diff) <= 25 and any(d.to_bytes(8).count(0) >= 2 for d in diff):
+            if sum(d.bit_count() for d in diff) <= 25:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return [r for r in rows if find(r[0]) == r[0]]

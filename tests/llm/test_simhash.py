@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 
@@ -104,6 +105,51 @@ def test_one_document_of_each_group_stays(make):
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == [3, 7, None]
 
 
+def test_fingerprints_of_rows_without_an_id_link(make, monkeypatch):
+    """Three fingerprints in a chain; only a row without an id has the middle one."""
+    chain = {"a": 0, "b": 0b111, "c": 0b111111, "d": 0xFF << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs.select(F.col("doc_id").alias("id"), F.create_map(*[F.lit(x) for kv in chain.items() for x in kv])[F.col("text")].cast("long").alias("f0"), F.lit(0).cast("long").alias("f1"), F.array().cast("array<long>").alias("keys")))
+    got = {(r["doc_id"], r["f0"]): r["component"] for r in simhash.near_duplicates(make([(1, "a"), (None, "b"), (2, "c"), (None, "d")])).collect()}
+    assert got == {(1, 0): 1, (None, 0b111): 1, (2, 0b111111): 1, (None, 0xFF << 40): None}
+
+
+def test_least_hashes():
+    r = np.random.default_rng(2)
+    for h in (np.zeros(0, np.uint64), np.zeros(500, np.uint64), r.integers(0, 40, 500, dtype=np.uint64), r.integers(0, 1 << 63, 5000, dtype=np.uint64)):
+        assert simhash.least(h, 16).tolist() == sorted(set(h.tolist()))[:16]
+    text = " ".join(f"w{i % 90}" for i in range(200))
+    w = text.split()
+    want = sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(196)})[:16]
+    assert simhash.fingerprint(text.encode(), 5, (42, 43), 16)[1].tolist() == want
+    assert simhash.fingerprint(b"", 5, (42,), 16)[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("limit", [4096, 6])
+def test_similar_texts_are_found_by_their_keys(make, limit):
+    """Every link within 25 bits of texts with a similarity of 0.8 or more, among texts that share a
+    passage of half their length; with a low limit its keys are everybody's."""
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"w{r.randrange(9000)}" for _ in range(60)]
+        if rows and r.random() < 0.5:
+            own = list(r.choice(rows)[1].split()[60:])
+            for _ in range(r.randrange(0, 3)):
+                own[r.randrange(60)] = f"w{r.randrange(9000)}"
+        rows.append((i, " ".join(common + own)))
+    got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(make(rows), shingle=5, seeds=(42, 43), max_bits=25, blocks=8, agree=2, cell_limit=limit).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    prints = [[plain(t, 5, s) for s in (42, 43)] for _, t in rows]
+    n = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b])) <= 25:
+                n += 1
+                assert got[a] == got[b], (a, b)
+    assert n > 30
+
+
 def test_too_few_blocks_are_refused(make):
     with pytest.raises(ValueError):
         simhash.near_duplicates(make([]), max_bits=4)

@@ -97,3 +97,16 @@ def test_lenient_read_reports_errors(spark):
     assert [r["error"] is None for r in got] == [True, False, True]
     with pytest.raises(Exception, match="Content-Length"):
         warc.read_warc(spark, path).collect()
+
+
+def test_archives_of_any_name_are_read(spark, tmp_path, make_pages=None):
+    import shutil
+
+    rows = [(i, f"http://x/{i}", "<p>" + "text " * i) for i in range(40)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/made")
+    (tmp_path / "moved" / "deep").mkdir(parents=True)
+    for k, f in enumerate(sorted((tmp_path / "made").glob("part-*"))):
+        shutil.copy(f, tmp_path / "moved" / ("deep" if k % 2 else ".") / f"CC-{k:05d}.warc.zst")
+    got = warc.read_warc(spark, f"file://{tmp_path}/moved").select(warc.page_of("record_id")).collect()
+    assert sorted(r[0] for r in got) == list(range(40))
+    assert warc.read_warc(spark, f"file://{tmp_path}/moved", glob="*.gz").count() == 0
