@@ -10,7 +10,8 @@ from tessera.llm.queries import mixture
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, and all of hosts that mostly fail, go."""
+    """Documents that fail the base rules go, all of hosts that mostly fail, and those that fail any
+    rule unless their host vouches for them."""
     return quality.keep_good_hosts(docs)
 
 
