@@ -127,8 +127,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return None
     each = max(1, max_docs // n_labels)
     n, chance = F.length("text"), F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    rare = F.col("count") <= 8 * each  # of few documents those of least chance, so that none is without
-    rates = counts.select(F.col("lang").alias("_lang"), F.when(rare, 1.0).otherwise(2 * each / F.col("count")).alias("rate"))
+    # Twice as many as wanted, and fifty at least, so that no language is without.
+    rates = counts.select(F.col("lang").alias("_lang"), (max(2 * each, 50) / F.col("count")).alias("rate"))
     starts = [F.floor(F.greatest(n - WINDOW, F.lit(0)) * (k / max(1, windows_each - 1))).cast("int") + 1 for k in range(windows_each)]
     cuts = F.array_distinct(F.array(*(F.substring(F.col("text"), s, F.lit(WINDOW)) for s in starts)))
     picked = usable.withColumn("chance", chance).join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where("chance < rate")

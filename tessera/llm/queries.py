@@ -145,16 +145,17 @@ t as (select k, label, {words.format(_LOWER.format("text"))} as w from (values {
 tk as (select k, label, len(w) as span, len(list_distinct(w)) as size, cast(greatest(1, ceil({threshold} * len(list_distinct(w)) - 1e-9)) as int) as need, unnest(list_distinct(w)) as token from t),
 ph as (select * from (values {phrases}) p(label, w)),
 dw as (select r, doc_id, {words.format("text")} as w from d),
-base as (select r, label, unnest(list_filter(range(1, len(dw.w) - len(ph.w) + 2), lambda i: list_slice(dw.w, i, i + len(ph.w) - 1) = ph.w)) as i from dw, ph where len(dw.w) >= len(ph.w)),
 ln as (select r, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as nth from d),
 lw as (select r, nth, {words.format("line")} as w from ln),
 full_lines as (select *, sum(len(w)) over (partition by r order by nth rows between unbounded preceding and current row) - len(w) as before, nth - row_number() over (partition by r, len(w) > 0 order by nth) as para from lw),
-tokens as (select r, nth, para, before + i as at, w[cast(i as int)] as token from (select r, nth, para, before, w, unnest(range(1, len(w) + 1)) as i from full_lines where len(w) > 0)),
+tokens as (select r, nth, para, before + i as place, token from (select r, nth, para, before, unnest(w) as token, unnest(range(1, len(w) + 1)) as i from full_lines where len(w) > 0)),
+next_ones as (select r, place, token, lead(token, 1) over ahead as second, lead(token, 2) over ahead as third from tokens window ahead as (partition by r order by place)),
+base as (select r, label, place as i from next_ones join ph on token = ph.w[1] where list_slice([token, second, third], 1, len(ph.w)) = ph.w),
 hit as (select tokens.*, k, label, span, size, need from tokens join tk using (token)),
 fit as (select r, para, k from hit group by r, para, k, need having count(distinct token) >= need),
 here as (select hit.* from hit join fit using (r, para, k)),
 alone as (select r, k, nth, any_value(label) as label, count(distinct token) / any_value(size) as share from here group by r, k, nth, need having count(distinct token) >= need),
-last_of as (select b.r, b.para, b.k, b.at as p, b.nth as last_line, b.label, b.need, b.size, a.token, max(a.at) as at, max(a.nth) as nth from here b join here a on a.r = b.r and a.para = b.para and a.k = b.k and a.at <= b.at and a.at > b.at - b.span group by all),
+last_of as (select b.r, b.para, b.k, b.place as p, b.nth as last_line, b.label, b.need, b.size, a.token, max(a.place) as place, max(a.nth) as nth from here b join here a on a.r = b.r and a.para = b.para and a.k = b.k and a.place <= b.place and a.place > b.place - b.span group by all),
 runs as (select r, k, p, any_value(label) as label, any_value(need) as need, any_value(size) as size, any_value(last_line) as last_line, min(nth) as first_line, count(*) as n from last_of group by r, para, k, p),
 wrapped as (select r, label, n / size as share from runs where n >= need and first_line <> last_line and not exists (select 1 from alone where alone.r = runs.r and alone.k = runs.k and alone.nth between first_line and last_line)),
 found as (select r, label, share from alone union all select r, label, share from wrapped),

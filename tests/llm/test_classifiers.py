@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ from tessera.llm.common import held_out, table
 
 from .conftest import odd_rows
 
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_fold_is_crc32(spark):
@@ -110,8 +112,8 @@ def plain_forward(net, text):
         for f in range(net.filters.shape[1]):
             width = langid.WIDTHS[f // langid.FILTERS]
             w = net.filters[:, f].reshape(-1, langid.EMBED)[:width]
-            places = [float((e[i : i + width] * w).sum()) for i in range(langid.WINDOW - max(langid.WIDTHS) + 1)]
-            h.append(max(0.0, max(places) + float(net.bias[f])))
+            places = sum(e[j : langid.WINDOW - max(langid.WIDTHS) + 1 + j] @ w[j] for j in range(width))
+            h.append(max(0.0, float(places.max()) + float(net.bias[f])))
         z = np.array(h) @ net.out + net.out_bias
         p = np.exp(z - z.max())
         total += p / p.sum() * len(part)
@@ -119,7 +121,7 @@ def plain_forward(net, text):
 
 
 def test_languages_like_a_plain_forward_pass_over_the_table(spark):
-    docs = table(spark, SF, "documents")
+    docs = table(spark, SMALL, "documents")
     net = langid.fit(docs, max_docs=200, epochs=1)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, net=net).collect()}
     rows = docs.select("doc_id", "text").collect()
@@ -177,7 +179,7 @@ def plain_score(model, text):
 
 
 def test_toxicity_like_a_plain_scorer_over_the_table(spark):
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
     model = toxicity.fit(docs, labels, epochs=5)
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model=model).collect()}
     rows = docs.select("doc_id", "text").collect()
