@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontaminate, linededup, quality, simhash
 from tessera.llm.common import fresh_path, table
 from tessera.llm.queries import mixture
+from tessera.session import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +22,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, 128 bits; fingerprints that agree in 0.8 of the bits or more are
-    linked, all of them, and the document with the smallest id of each group stays. That is a
-    Jaccard similarity of about 0.69; shingles are not compared."""
+    """Shingles of five words, 128 bits; of texts that share one of their least shingle hashes (as
+    those with a similarity of 0.8 do) fingerprints that agree in 0.8 of the bits or more are linked,
+    and the document with the smallest id of each group stays. That is a Jaccard similarity of about
+    0.69; shingles are not compared."""
     return simhash.drop_near_duplicates(docs, shingle=5, seeds=(42, 43), max_bits=25)
 
 
@@ -50,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet and read by the next."""
+    """Applies the stages to documents, each written as Parquet and read by the next. What a stage wrote
+    on the way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(path := fresh_path(spark, f"pipeline-{name.replace(' ', '-')}"))
+        path = fresh_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
